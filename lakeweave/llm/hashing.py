@@ -104,15 +104,21 @@ def grams(hashes: np.ndarray, n: int, step: int = _STEP) -> np.ndarray:
         size *= 2
 
 
-def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w consecutive values, in log w passes."""
+def sliding_min(values: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each w consecutive values and its leftmost place, in log w passes."""
     if len(values) < w:
-        return values[:0]
-    size, out = 1, values
+        return values[:0], np.zeros(0, np.int64)
+
+    def least(a, b, shift, n):
+        x, y = a[0][:n], b[0][shift : shift + n]
+        right = y < x
+        return np.where(right, y, x), np.where(right, b[1][shift : shift + n], a[1][:n])
+
+    size, out = 1, (values, np.arange(len(values)))
     while 2 * size <= w:
-        out = np.minimum(out[:-size], out[size:])
+        out = least(out, out, size, len(out[0]) - size)
         size *= 2
-    return np.minimum(out[: len(values) - w + 1], out[w - size : w - size + len(values) - w + 1])
+    return least(out, out, w - size, len(values) - w + 1)
 
 
 def within(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe, simhash
+from . import sentencepiece_bpe, simhash, substring_dedup
 from .common import tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
@@ -32,10 +32,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_sentencepiece": op4_sentencepiece,
+        "op8_substring": op8_substring,
     }
 
 
