@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes, with_id
+from .common import pieces, with_id
 
 #: The library's mark of a space in pieces, and its piece types.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Chunks (a word with its marks) whose ids a worker remembers; beyond that the memory is emptied.
-REMEMBERED = 300_000
+#: Chunks (a word with its marks) whose ids a worker remembers of each kind; beyond that the memory is emptied.
+REMEMBERED = 600_000
 
 
 class Merges:
@@ -51,11 +51,17 @@ class Merges:
         reachable = [p for p in self.ids if self.merged(p) == (p,)]
         self.automaton = ahocorasick.Automaton()
         for p in reachable:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p), self.ids[p]))
         self.automaton.make_automaton()
         self.single = {p for p in reachable if len(p) == 1}
-        self.stands = functools.lru_cache(1 << 18)(lambda a, b: self.merged(a + b) == (a, b))
+        self.line_breaks = not any("\n" in p for p in self.ids)  # else a line break may lie inside a piece
+        #: What adjacent-token checks have found: left id * pieces + right id -> they stand together.
+        self.pairs: dict[int, bool] = {}
+        #: Ids of chunks seen, those that begin with the mark (left out of the key) and others.
         self.known: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
+        #: The text of each id but those of bytes beyond ASCII, and of <unk> and control ids.
+        self.plain = [None if i in self.silent else chr(self.byte_of[i]) if self.byte_of.get(i, 255) < 128 else None if i in self.byte_of else p for i, p in enumerate(self.pieces)]
 
     def merged(self, text: str) -> tuple[str, ...]:
         """Merging from characters: the best-scored pair first, the leftmost of equals. For short texts."""
@@ -71,65 +77,94 @@ class Merges:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(parts)
 
-    def walk(self, text: str) -> list[str]:
-        """The pieces of a text all of whose characters are pieces."""
+    def stands(self, a: int, b: int) -> bool:
+        """Whether two pieces stay as they are when their text is merged anew."""
+        if len(self.pairs) >= 1 << 20:
+            self.pairs.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        got = self.pairs[a * len(self.pieces) + b] = self.merged(x + y) == (x, y)
+        return got
+
+    def walk(self, text: str) -> list[int]:
+        """The ids of a text all of whose characters are pieces."""
         n, starts = len(text), [[] for _ in text]
-        for end, size in self.automaton.iter(text):
-            starts[end - size + 1].append(size)
-        for x in starts:  # shortest first
-            x.sort()
-        failed, stands = bytearray(n + 1), self.stands
-        out, left, at = [], [len(starts[0])], 0  # left: how many of the pieces at each place are yet to try
+        for end, piece in self.automaton.iter(text):  # ends grow, so each place's pieces come shortest first
+            starts[end - piece[0] + 1].append(piece)
+        pairs, stands, many = self.pairs, self.stands, len(self.pieces)
+        failed = 0  # bitfield of positions from which the walk can't reach the end
+        out, back, at, last = [], [], 0, -1  # back: how many pieces are yet to try at each place taken, and the place
+        k = len(starts[0])
         while at < n:
-            choice, k = starts[at], left[-1]
+            choice = starts[at]
             while k:
                 k -= 1
-                to = at + choice[k]
-                if not failed[to] and (not out or stands(out[-1], text[at:to])):
-                    break
+                size, piece = choice[k]
+                if failed >> at + size & 1:
+                    continue
+                if last >= 0:
+                    ok = pairs.get(last * many + piece)
+                    if ok is None:
+                        ok = stands(last, piece)
+                    if not ok:
+                        continue
+                back.append((at, k))
+                out.append(piece)
+                last = piece
+                at += size
+                k = len(starts[at]) if at < n else 0
+                break
             else:  # nothing fits here: the piece that led here gives way
-                failed[at] = 1
-                left.pop()
-                at -= len(out.pop())
-                continue
-            left[-1] = k
-            out.append(text[at:to])
-            at = to
-            left.append(len(starts[at]) if at < n else 0)
+                failed |= 1 << at
+                at, k = back.pop()
+                out.pop()
+                last = out[-1] if out else -1
         return out
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         """The ids of a chunk, in which no space mark follows another character."""
+        if self.single.issuperset(chunk):
+            return tuple(self.walk(chunk))
         ids, at = [], 0
         while at < len(chunk):
             if chunk[at] not in self.single:
-                ids += (self.bytes[b] for b in chunk[at].encode())
+                ids += [self.bytes[b] for b in chunk[at].encode()]
                 at += 1
                 continue
             to = at + 1
             while to < len(chunk) and chunk[to] in self.single:
                 to += 1
-            ids += (self.ids[p] for p in self.walk(chunk[at:to]))
+            ids += self.walk(chunk[at:to])
             at = to
         return tuple(ids)
 
+    def _kept(self, memory: dict, key: str, chunk: str) -> tuple[int, ...]:
+        got = self.chunk_ids(chunk)
+        if len(key) <= 64:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            memory[key] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        out, known = [], self.known
+        out, known, bare = [], self.known, self.bare
         if MARK in text:
             text = text.replace(MARK, " ")
         blanks = 1  # spaces that stand before the next word; the dummy prefix is the first
         for word in text.split(" "):
             if word:
-                chunk = word if blanks == 1 else " " * (blanks - 1) + word
-                got = known.get(chunk)
+                if blanks > 1:
+                    word = " " * (blanks - 1) + word
+                got = known.get(word)
                 if got is None:
-                    got = self.chunk_ids(MARK + chunk.replace(" ", MARK))
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    if len(chunk) <= 64:
-                        known[chunk] = got
+                    if self.line_breaks and "\n" in word:
+                        word, *lines = word.split("\n")
+                        got = known.get(word) or self._kept(known, word, MARK + word.replace(" ", MARK))
+                        for x in lines:
+                            got = (*got, self.bytes[10], *((bare.get(x) or self._kept(bare, x, x)) if x else ()))
+                    else:
+                        got = self._kept(known, word, MARK + word.replace(" ", MARK))
                 out += got
                 blanks = 0
             blanks += 1
@@ -139,18 +174,21 @@ class Merges:
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, marks turned into spaces, the dummy prefix dropped, bytes read as UTF-8."""
-        out, raw = [], []
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except TypeError:
+            out, raw = [], []
+            for i in ids:
+                if i in self.byte_of:
+                    raw.append(self.byte_of[i])
+                    continue
+                if raw:
+                    out.append(_read_bytes(raw))
+                    raw = []
+                out.append(" ⁇ " if i in self.silent and self.pieces[i] == "<unk>" else "" if i in self.silent else self.pieces[i])
             if raw:
                 out.append(_read_bytes(raw))
-                raw = []
-            out.append(" ⁇ " if i in self.silent and self.pieces[i] == "<unk>" else "" if i in self.silent else self.pieces[i])
-        if raw:
-            out.append(_read_bytes(raw))
-        text = "".join(out)
+            text = "".join(out)
         return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
 
 
@@ -192,7 +230,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _from_bytes(sent.value)
         for b in pieces(batches, "text"):
-            ids = [model.encode(t.decode()) for t in text_bytes(b.column("text"))]
+            ids = [model.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(model.decode, ids), pa.string())], ["id", "ids", "decoded"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
