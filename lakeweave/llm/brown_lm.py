@@ -1,0 +1,315 @@
+"""Class-based n-gram scoring after Brown et al.: P(w | before) = P(class(w) | class before) * P(w | class(w)).
+
+Exchange clustering moves each of the commonest words in turn to the class that most raises the likelihood of all
+class bigrams, until few move. Every other word belongs to an open class by its shape, which needs no table. Class
+transitions are smoothed with class frequencies; emissions in open classes are discounted, and what is discounted is
+the probability of a word never seen. All counts are of the whole training corpus.
+
+The vocabulary grows with the corpus, so only its head of bounded size goes along with the tasks; the tail's counts
+are joined to the texts' rare words by shuffle.
+"""
+
+from __future__ import annotations
+
+import itertools
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pieces, text_bytes, with_id, written
+
+#: Words that are clustered, and classes for them.
+CLUSTERED, CLASSES = 2048, 64
+#: Words whose counts every task holds; a tail word's count comes by a join.
+HEAD = 200_000
+#: Distinct words that a task adds up before it sends them on.
+HELD = 300_000
+OPEN = 12
+ROUNDS, MOVED = 8, 0.005
+ROWS = 64  # of the bigram matrix, in one block of the shuffle
+
+
+def shape(word: bytes) -> int:
+    """The open class of a word: whether it ends with a mark, has other than ASCII bytes, and its length in three steps."""
+    last = word[-1]
+    mark = last < 128 and not (97 <= last <= 122 or 65 <= last <= 90 or 48 <= last <= 57)
+    return (mark * 2 + (not word.isascii())) * 3 + (0 if len(word) <= 4 else 1 if len(word) <= 8 else 2)
+
+
+def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All texts' words in a row, A-Z lower-cased, and each text's number of them."""
+    words = [t.lower().split() for t in texts]
+    return list(itertools.chain.from_iterable(words)), np.array([len(w) for w in words], np.int64)
+
+
+def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, shape, n) of all words of all texts, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array([shape(w) for w in held], pa.int8()), pa.array(list(held.values()), pa.int64())], ["word", "shape", "n"])
+
+        for b in pieces(batches, "text"):
+            held.update(_tokens(text_bytes(b.column("text")))[0])
+            if len(held) > HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, shape tinyint, n long")
+    return rows.groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
+
+
+def class_ids(texts: list[bytes], index: dict[bytes, int], first_open: int, end: int) -> np.ndarray:
+    """Numbers of clustered words, first_open + shape of others, and an end before and after each text."""
+    words, counts = _tokens(texts)
+    get = index.get
+    ids = np.fromiter((i if (i := get(w)) is not None else first_open + shape(w) for w in words), np.int64, len(words))
+    return _bounded(ids, counts, end)
+
+
+def _bounded(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+    """end, text, end, text, ..., end: each text's end is what comes before the next one's first word."""
+    at = np.cumsum(np.concatenate(([0], counts)))
+    return np.insert(ids, at, end)
+
+
+def bigrams(df: DataFrame, index: dict[bytes, int], text_col: str = "text") -> np.ndarray:
+    """Counts of (token, next token), tokens being clustered words, open classes and the end. Of fixed size.
+
+    Each task counts into one matrix and sends it in compressed blocks of rows; blocks are added up by groups of
+    tasks first, then over all.
+    """
+    spark, m = df.sparkSession, len(index)
+    size = m + OPEN + 1
+    sent = spark.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, wait, waiting = np.zeros(size * size, np.int64), [], 0
+        for b in pieces(batches, "text"):
+            ids = class_ids(text_bytes(b.column("text")), sent.value, m, size - 1)
+            wait.append(ids[:-1] * size + ids[1:])
+            waiting += len(wait[-1])
+            if waiting > size * size // 4:
+                total += np.bincount(np.concatenate(wait), minlength=size * size)
+                wait, waiting = [], 0
+        if wait:
+            total += np.bincount(np.concatenate(wait), minlength=size * size)
+        total = total.reshape(size, size)
+        part = TaskContext.get().partitionId()
+        for at in range(0, size, ROWS):
+            block = total[at : at + ROWS]
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part // 32], pa.int32()), pa.array([zlib.compress(block.tobytes(), 1)], pa.binary())], ["at", "part", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = 0
+        for x in t["counts"]:
+            total = total + np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"at": t["at"][:1], "part": t["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "at int, part int, counts binary"
+    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = rows.groupBy("at", "part").applyInArrow(add, schema).groupBy("at").applyInArrow(add, schema)
+    out = np.zeros((size, size), np.int64)
+    for r in rows.collect():
+        out[r.at : r.at + ROWS] = np.frombuffer(zlib.decompress(r.counts), np.int64).reshape(-1, size)
+    return out
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def exchange(pairs: np.ndarray, words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """Classes of the first `words` tokens of a bigram matrix; the other tokens are classes of their own, in order.
+
+    From classes dealt by rank, each word in turn goes where the sum of n log n over class bigrams, less that over
+    classes twice, is largest; of equals to the class with the lower number. Ends when under one in 200 moves.
+    """
+    classes = max(1, min(classes, words))
+    fixed = pairs.shape[0] - words
+    k = classes + fixed
+    of = np.concatenate((np.arange(words) % classes, classes + np.arange(fixed)))
+    pairs = pairs.astype(np.float64)
+    to = np.zeros((pairs.shape[0], k))  # counts of each token before each class, and after it
+    np.add.at(to.T, of, pairs.T)
+    fro = np.zeros((pairs.shape[0], k))
+    np.add.at(fro.T, of, pairs)
+    both = np.zeros((k, k))
+    np.add.at(both, of, to)
+    n = pairs.sum(axis=1)
+    total = np.bincount(of, n, k)
+    for _ in range(rounds):
+        moved = 0
+        for w in range(words):
+            a, self_pairs = of[w], pairs[w, w]
+            after, before = to[w].copy(), fro[w].copy()
+            after[a] -= self_pairs
+            before[a] -= self_pairs
+            both[a] -= after
+            both[:, a] -= before
+            both[a, a] -= self_pairs
+            total[a] -= n[w]
+            own = both[:classes, :classes].diagonal()
+            gain = (_f(both[:classes] + after) - _f(both[:classes])).sum(axis=1) + (_f(both[:, :classes].T + before) - _f(both[:, :classes].T)).sum(axis=1)
+            gain -= _f(own + after[:classes]) + _f(own + before[:classes]) - 2 * _f(own)
+            gain += _f(own + after[:classes] + before[:classes] + self_pairs) - _f(own)
+            gain -= 2 * (_f(total[:classes] + n[w]) - _f(total[:classes]))
+            c = a if gain[a] >= gain.max() - 1e-9 else int(gain.argmax())
+            both[c] += after
+            both[:, c] += before
+            both[c, c] += self_pairs
+            total[c] += n[w]
+            if c != a:
+                of[w] = c
+                to[:, a] -= pairs[:, w]
+                to[:, c] += pairs[:, w]
+                fro[:, a] -= pairs[w]
+                fro[:, c] += pairs[w]
+                moved += 1
+        if moved <= MOVED * words:
+            break
+    return of
+
+
+@dataclass
+class Model:
+    """What tasks need (head, classes, log probabilities) and the table of the tail's counts."""
+
+    head: dict[bytes, int]
+    head_class: np.ndarray
+    head_count: np.ndarray
+    head_emission: np.ndarray
+    classes: int  # closed classes; open ones and the end follow
+    transition: np.ndarray
+    open_tokens: np.ndarray
+    open_types: np.ndarray
+    discount: float
+    tokens: int
+    types: int
+    ends: int
+    tail: DataFrame
+
+    def for_tasks(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tail"}
+
+
+def fit(df: DataFrame, text_col: str = "text", clustered: int = CLUSTERED, classes: int = CLASSES, head: int = HEAD) -> Model:
+    """Learns from every row; a null text is an empty one, that is, one end."""
+    counts = written(word_counts(df, text_col), "lm-counts")
+    # how many words have each count: a short list that says from which count on the words fit into the head
+    by_count = sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, room = (by_count[0][0] + 1 if by_count else 1), head
+    for n, words in by_count:
+        if words > room:
+            break
+        least, room = n, room - words
+    top = counts.where(F.col("n") >= least).toArrow()
+    rows = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist(), top["shape"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+    index = {w.encode(): i for i, (_, w, _) in enumerate(rows[:clustered])}
+    pairs = bigrams(df, index, text_col)
+    words = len(index)
+    of = exchange(pairs, words, classes) if words else np.arange(OPEN + 1)
+    k = int(of[-1]) + 1
+    closed = k - OPEN - 1
+    table = np.zeros((k, k))
+    np.add.at(table, (of[:, None], of[None, :]), pairs)
+    ends = int(pairs[-1].sum())
+    totals = table.sum(axis=0)
+    share = (totals + 0.5) / (totals.sum() + 0.5 * k)
+    strength = 5.0
+    transition = np.log10((table + strength * share) / (table.sum(axis=1, keepdims=True) + strength))
+    seen = {r["shape"]: (r["tokens"], r["types"]) for r in counts.groupBy("shape").agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).collect()}
+    open_tokens, open_types = np.zeros(OPEN), np.zeros(OPEN)
+    for s, (tokens, types) in seen.items():
+        open_tokens[s], open_types[s] = tokens, types
+    tokens, types = int(open_tokens.sum()) + ends, int(open_types.sum()) + (ends > 0)
+    for n, _, s in rows[:clustered]:
+        open_tokens[s] -= n
+        open_types[s] -= 1
+    ones, twos = (dict(by_count).get(n, 0) for n in (1, 2))
+    discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    n = np.array([r[0] for r in rows], np.float64)
+    shapes = np.array([r[2] for r in rows], np.int64)
+    head_class = closed + shapes
+    head_class[:words] = of[:words]
+    in_class = np.bincount(of[:words], n[:words], closed) if words else np.zeros(0)
+    emission = np.empty(len(rows))
+    emission[:words] = np.log10(n[:words] / in_class[of[:words]])
+    emission[words:] = np.log10((n[words:] - discount) / open_tokens[shapes[words:]])
+    return Model({w.encode(): i for i, (_, w, _) in enumerate(rows)}, head_class, n, emission, closed, transition, open_tokens, open_types, discount, tokens, types, ends, counts.where(F.col("n") < least))
+
+
+def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for each row.
+
+    Tokens are the A-Z lower-cased words and one end. n_known: tokens seen in training. base_score: sum of log10 of
+    (count + 1) / (N + V + 1) over tokens. score: log10 of the class model's probability of the whole text, its end
+    included. A null text is an empty one. Rows that repeat an id with the same text each keep their row; a null id
+    is an id. Texts without words have the end alone. Empty tables give no rows.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model.for_tasks())
+    keyed = df.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    all_log = float(np.log10(model.tokens + model.types + 1))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        get, count = m["head"].get, np.append(m["head_count"], 0.0)
+        base, emission = np.log10(count + 1) - all_log, np.append(m["head_emission"], 0.0)
+        of, end = np.append(m["head_class"], 0), m["classes"] + OPEN
+        for b in pieces(batches, "text"):
+            words, counts = _tokens(text_bytes(b.column("text")))
+            ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+            text = np.repeat(np.arange(len(counts)), counts)
+            cls = of[ids]
+            rare = np.flatnonzero(ids < 0)
+            cls[rare] = m["classes"] + np.fromiter((shape(words[i]) for i in rare.tolist()), np.int64, len(rare))
+            seq = _bounded(cls, counts, end)
+            step = m["transition"][seq[:-1], seq[1:]]
+            n = len(counts)
+            first = np.bincount(np.repeat(np.arange(n), counts + 1), step, n)
+            hit = ids >= 0
+            base_sum = np.bincount(text, np.where(hit, base[ids], 0), n) + np.log10(m["ends"] + 1) - all_log
+            total = first + np.bincount(text, np.where(hit, emission[ids], 0), n)
+            n_known = np.bincount(text, hit, n).astype(np.int64) + (m["ends"] > 0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([1] * n, pa.int64()), pa.array(counts + 1), pa.array(n_known), pa.array(base_sum), pa.array(total)], ["id", "th", "row", "n_tokens", "n_known", "base", "model"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = sent.value["head"].__contains__
+        for b in pieces(batches, "text"):
+            at, word, times = [], [], []
+            for i, t in enumerate(text_bytes(b.column("text"))):
+                got = Counter(itertools.filterfalse(get, t.lower().split()))
+                at += [i] * len(got)
+                word += got
+                times += got.values()
+            if at:
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), pa.array([w.decode() for w in word], pa.string()), pa.array([shape(w) for w in word], pa.int8()), pa.array(times, pa.int32())], ["id", "th", "word", "s", "times"])
+
+    kind = with_id(df, id_col, "x int")["id"].dataType.simpleString()
+    rows = keyed.mapInArrow(known, f"id {kind}, th int, row long, n_tokens long, n_known long, base double, model double")
+    c, d = F.coalesce(F.col("n"), F.lit(0)), F.lit(model.discount)
+    in_open = F.element_at(F.array(*map(F.lit, model.open_tokens.tolist())), F.col("s").cast("int") + 1)
+    types = F.element_at(F.array(*map(F.lit, model.open_types.tolist())), F.col("s").cast("int") + 1)
+    unseen = F.when(in_open > 0, F.log10(F.greatest(types, F.lit(1.0)) * d / F.greatest(in_open, F.lit(1.0)))).otherwise(F.lit(0.0))
+    emitted = F.when(c > 0, F.log10((c - d) / in_open)).otherwise(unseen)
+    tail = keyed.mapInArrow(rare, f"id {kind}, th int, word string, s tinyint, times int").join(model.tail.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"), "left")
+    tail = tail.select("id", "th", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("times") * (F.log10(c + 1.0) - all_log)).alias("base"), (F.col("times") * emitted).alias("model"))
+    both = rows.union(tail).groupBy("id", "th").agg(*[F.sum(x).alias(x) for x in ("row", "n_tokens", "n_known", "base", "model")])
+    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("row"))))
+    return both.select(
+        F.col("id").alias(id_col), (F.col("n_tokens") / F.col("row")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("row")).cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") / F.col("row")).alias("base_score"), (F.col("model") / F.col("row")).alias("score"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, sentencepiece_bpe, simhash, substring_dedup
+from . import brown_lm, decontaminate, langid, minhash, pu_quality, sentencepiece_bpe, sharding, simhash, substring_dedup, warc
 from .common import crc_fold, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
@@ -29,6 +29,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 7) == 2
+    model = brown_lm.fit(docs.where(~held_out))
+    return brown_lm.score(docs, model).withColumn("held_out", held_out)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file(MODEL))
     return got.select(
@@ -44,18 +51,44 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op6_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (crc_fold(F.col("doc_id"), 5) != 0)).select("doc_id")
+    model = pu_quality.fit(docs.where(crc_fold(F.col("doc_id"), 5) != 0), trusted)
+    got = pu_quality.score(docs, model)
+    return got.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= pu_quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", F.col("ts").alias("captured"), "position")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_simhash": op2_simhash,
+        "op3_brown_lm": op3_brown_lm,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_minhash": op5_minhash,
+        "op6_hash_tree": op6_hash_tree,
+        "op7_pu_quality": op7_pu_quality,
         "op8_substring": op8_substring,
+        "op9_warc": op9_warc,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
