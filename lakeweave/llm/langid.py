@@ -123,3 +123,21 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, with_id(df, id_col, "lang_pred string, score double")).withColumnRenamed("id", id_col)
+
+
+def keep_known(df: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose language is known with at least that probability, with lang_col as predicted.
+
+    Rejected are null texts, texts without letters, and texts of which no language is likely enough. All other
+    columns stay as they are.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, text_col):
+            lang, score = sent.value.predict([x or "" for x in b.column(text_col).to_pylist()])
+            columns = [*b.columns[:at], pa.array(lang, pa.string()), *b.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]))
+
+    return df.mapInArrow(run, df.schema)

@@ -24,6 +24,8 @@ WIDTH = 9 + 10 + HASHED
 #: Bounds of the samples that the classifier is fitted on: rows with the least hashes of their ids.
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 THRESHOLD = 0.3
+#: What hashed frequencies are scaled by against the statistics: there are many, and each says little.
+SHRINK = 0.3
 
 _KIND = np.zeros(256, np.int8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 stops, 5 other punctuation, 6 space, 7 line end, 8 beyond ASCII
 for _k, _set in enumerate((string.ascii_lowercase, string.ascii_uppercase, string.digits, ".,;:?'\"-()", "!@#$%&*+/<=>[\\]^_`{|}~", " \t", "\n\r"), 1):
@@ -170,6 +172,7 @@ def fit(df: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: s
     if not (kind == 1).any() or not (kind == 0).any():
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    scale[-HASHED:] /= SHRINK
     z = (x - mean) / scale
     prior = estimate_prior(z[kind == 1], z[kind == 0])
     w, b = _risk_fit(z[kind == 1], z[kind == 0], prior)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import drop_path, new_path, pieces, text_bytes, written
 from .hashing import grams, mix, sliding_min, within, word_hashes
@@ -206,9 +207,11 @@ def repeated_windows(df: DataFrame, window: int, bitmap, id_col: str = "doc_id",
     return sure.union(found.where("n = 3").select("id", "th", "at")).groupBy("id", "th").agg(F.collect_list("at").alias("at"))
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_words long, n_removed long, kept string) for each row: the text without repeated passages.
 
+    Columns named in carry come along, in a struct `rest` after these.
+
     Removed is each word covered by a window of `window` words that also starts anywhere else, in the same text or
     another; all copies go, judged on the input. Kept words are joined by one space. Words are as written, parted by
     0x20 and 0x09-0x0D. Null, empty and short texts lose nothing (null: no words, kept is empty). Rows that repeat id
@@ -224,8 +227,9 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col
     for _, path in index.runs:
         drop_path(spark, path)
     flags = repeated_windows(df, window, bitmap, id_col, text_col).select(F.col("id").alias("id2"), F.col("th").alias("th2"), "at")
-    keyed = _keys(df, id_col, text_col)
-    kind = keyed.schema["id"].dataType.simpleString()
+    keyed = _keys(df, id_col, text_col).withColumn("rest", F.lit(None).cast("int"))
+    if carry:
+        keyed = df.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), F.struct(*carry).alias("rest"))
 
     def doubtful(b: pa.RecordBatch) -> np.ndarray:
         _, _, text, fp, _ = _windows(text_bytes(b.column("text")), window)
@@ -241,7 +245,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col
         for b in pieces(batches, "text"):
             b = b.filter(pa.array(~doubtful(b)))
             words = [x.split() for x in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, words)), pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(map(len, words)), pa.int64()), pa.array([0] * len(words), pa.int64()), pa.array([b" ".join(w).decode() for w in words], pa.string()), b.column("rest")], ["id", "n_words", "n_removed", "kept", "rest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -257,8 +261,9 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col
                 kept.append(b" ".join(itertools.compress(words, keep.tolist())).decode())
                 total.append(len(words))
                 removed.append(len(words) - int(keep.sum()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), b.column("rest")], ["id", "n_words", "n_removed", "kept", "rest"])
 
-    out = f"id {kind}, n_words long, n_removed long, kept string"
-    left = keyed.mapInArrow(rest, keyed.schema).join(flags, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "at")
-    return keyed.mapInArrow(whole, out).union(left.mapInArrow(cut, out)).withColumnRenamed("id", id_col)
+    out = StructType([keyed.schema["id"], *StructType.fromDDL("n_words long, n_removed long, kept string"), keyed.schema["rest"]])
+    left = keyed.mapInArrow(rest, keyed.schema).join(flags, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "rest", "at")
+    done = keyed.mapInArrow(whole, out).union(left.mapInArrow(cut, out)).withColumnRenamed("id", id_col)
+    return done if carry else done.drop("rest")
