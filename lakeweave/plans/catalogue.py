@@ -1,15 +1,630 @@
-"""Every operator of the library as a named query over the synthetic tables, with its SQL twin."""
+"""Every operator of the library as a named query over the synthetic tables, with its SQL twin.
+
+Customers stand for borrowers, orders for loan applications (approved: status other than P, default: status F),
+lineitems for repayments (overdue by days between order and shipment), events for the message stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeweave.functions.scalar import bucketize, count_where, day, half_up, mean, money, plain_ratio, ratio, stable_hash, total, total_where
+from lakeweave.operators import dimensions, governance, maintenance, merge, metrics, quality
+from lakeweave.plans import serving
+from lakeweave.sources import readers, sinks
+from lakeweave.sources.fs import Files, stored, workspace
+from lakeweave.sources.readers import table
+from lakeweave.sources.versioned import SnapshotStore
+from lakeweave.streaming import windows
+
+FIRST, SECOND, CUT = "1995-01-01", "1998-06-01", "1998-06-01"
+SEGMENTS = ["c_nationkey", "c_mktsegment"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+# ------------------------------------------------------------------ daily and cumulative metrics
+
+
+def _applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", day("o_orderdate").alias("apply_date"))
+
+
+
+def _approved():
+    return F.col("o_orderstatus") != "P"
+
+
+def _day_metrics() -> dict:
+    return {
+        "apply_cnt": F.count("*"), "approve_cnt": count_where(_approved()), "loan_amt_sum": total_where(_approved(), "o_totalprice"), "avg_amount": mean("o_totalprice", 2),
+        "default_cnt": count_where(_approved() & (F.col("o_orderstatus") == "F")), "apply_customer_cnt": F.countDistinct("o_custkey"),
+    }
+
+
+def _rates() -> dict:
+    return {"approve_rate": plain_ratio("approve_cnt", "apply_cnt"), "default_rate": ratio("default_cnt", "approve_cnt")}
+
+
+_DAY_SQL = """
+count(*) apply_cnt, sum(case when o_orderstatus <> 'P' then 1 else 0 end)::bigint approve_cnt,
+sum(case when o_orderstatus <> 'P' then o_totalprice::decimal(18,2) else 0 end)::double loan_amt_sum,
+sum(o_totalprice::decimal(28,2))::double / count(o_totalprice) avg_amount,
+sum(case when o_orderstatus = 'F' then 1 else 0 end)::bigint default_cnt, count(distinct o_custkey) apply_customer_cnt"""
+_RATES_SQL = """
+floor(approve_cnt::double / nullif(apply_cnt, 0) * 10000.0 + 0.5) / 10000.0 approve_rate,
+floor(default_cnt::double / greatest(approve_cnt, 1) * 10000.0 + 0.5) / 10000.0 default_rate"""
+
+
+@query(f"with d as (select o_orderdate::date apply_date, {_DAY_SQL} from orders group by 1) select *, {_RATES_SQL} from d")
+def apply_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary(_applications(spark, sf_dir), _day_metrics(), ["apply_date"], _rates())
+
+
+@query(f"with d as (select date '1990-01-01' apply_date, {_DAY_SQL} from orders where o_orderdate::date = date '1990-01-01') select *, {_RATES_SQL} from d")
+def apply_day_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day without applications still has its row: counts 0, sums and rates NULL but for the guarded one."""
+    one = metrics.summary(serving.daily(_applications(spark, sf_dir), "apply_date", "1990-01-01"), _day_metrics(), None, _rates())
+    return one.select(F.to_date(F.lit("1990-01-01")).alias("apply_date"), "*")
+
+
+def _repayments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    r = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return r.select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("custkey"), "l_quantity", "l_extendedprice", day("l_shipdate").alias("repay_date"), F.datediff("l_shipdate", "o_orderdate").alias("overdue_days"))
+
+
+def _customer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _applications(spark, sf_dir).withColumnRenamed("o_custkey", "custkey")
+    apps = {"hist_apply_cnt": F.count("*"), "hist_approve_cnt": count_where(_approved()), "hist_loan_amt": total_where(_approved(), "o_totalprice"), "last_apply_date": F.max("apply_date")}
+    pays = {"hist_repay_cnt": F.count("*"), "hist_repay_amt": total("l_extendedprice"), "hist_overdue_cnt": count_where(F.col("overdue_days") > 0), "last_repay_date": F.max("repay_date")}
+    fill = [c for c in [*apps, *pays] if c.startswith("hist")]
+    return metrics.cumulative([(a, F.col("apply_date"), apps), (_repayments(spark, sf_dir), F.col("repay_date"), pays)], "custkey", CUT, fill, {"overdue_ratio": ratio("hist_overdue_cnt", "hist_repay_cnt")})
+
+
+_REPAY_SQL = "select l_orderkey, l_linenumber, o_custkey custkey, l_quantity, l_extendedprice, l_shipdate::date repay_date, datediff('day', o_orderdate::date, l_shipdate::date) overdue_days from lineitem join orders on l_orderkey = o_orderkey"
+_HIST_SQL = f"""
+a as (select o_custkey custkey, count(*) n, sum(case when o_orderstatus <> 'P' then 1 else 0 end)::bigint ok,
+  sum(case when o_orderstatus <> 'P' then o_totalprice::decimal(18,2) else 0 end)::double amt, max(o_orderdate::date) last
+  from orders where o_orderdate::date <= date '{CUT}' group by 1),
+p as ({_REPAY_SQL}),
+r as (select custkey, count(*) n, sum(l_extendedprice::decimal(18,2))::double amt, sum(case when overdue_days > 0 then 1 else 0 end)::bigint late, max(repay_date) last
+  from p where repay_date <= date '{CUT}' group by 1),
+h as (select coalesce(a.custkey, r.custkey) custkey, coalesce(a.n, 0) hist_apply_cnt, coalesce(ok, 0) hist_approve_cnt, coalesce(a.amt, 0) hist_loan_amt, a.last last_apply_date,
+  coalesce(r.n, 0) hist_repay_cnt, coalesce(r.amt, 0) hist_repay_amt, coalesce(late, 0) hist_overdue_cnt, r.last last_repay_date,
+  floor(coalesce(late, 0)::double / greatest(coalesce(r.n, 0), 1) * 10000.0 + 0.5) / 10000.0 overdue_ratio
+  from a full join r on a.custkey = r.custkey)"""
+
+
+@query(f"with {_HIST_SQL} select * from h")
+def customer_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customer_history(spark, sf_dir)
+
+
+def _risk(spark: SparkSession, sf_dir: str, calendar: bool) -> DataFrame:
+    d = metrics.summary(_applications(spark, sf_dir), {"apply_cnt": F.count("*"), "amt": F.sum(money("o_totalprice"))}, ["apply_date"])
+    d = metrics.change(metrics.rolling(d, "apply_date", {"apply_cnt": "apply_cnt_7d", "amt": "loan_amt_7d"}, 7, calendar), "apply_date", "apply_cnt", "apply_cnt_dod")
+    return d.select("apply_date", "apply_cnt", "apply_cnt_7d", F.col("loan_amt_7d").cast("double").alias("loan_amt_7d"), "apply_cnt_dod")
+
+
+def _risk_sql(frame: str) -> str:
+    return f"""with d as (select o_orderdate::date apply_date, count(*) apply_cnt, sum(o_totalprice::decimal(18,2)) amt from orders group by 1)
+select apply_date, apply_cnt, (sum(apply_cnt) over w)::bigint apply_cnt_7d, (sum(amt) over w)::double loan_amt_7d,
+floor((apply_cnt - lag(apply_cnt) over (order by apply_date))::double / greatest(lag(apply_cnt) over (order by apply_date), 1) * 10000.0 + 0.5) / 10000.0 apply_cnt_dod
+from d window w as (order by apply_date {frame})"""
+
+
+@query(_risk_sql("rows between 6 preceding and current row"))
+def risk_daily_rows7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _risk(spark, sf_dir, False)
+
+
+@query(_risk_sql("range between interval 6 days preceding and current row"))
+def risk_daily_range7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _risk(spark, sf_dir, True)
+
+
+# ------------------------------------------------------------------ dimensions
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", *SEGMENTS)
+    return c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, F.concat(F.col("c_mktsegment"), F.lit("-2"))).otherwise(F.col("c_mktsegment"))) if second else c
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = dimensions.apply_snapshot(None, _snapshot(spark, sf_dir), "c_custkey", SEGMENTS, FIRST)
+    return dimensions.apply_snapshot(first, _snapshot(spark, sf_dir, True), "c_custkey", SEGMENTS, SECOND, ["c_mktsegment"])
+
+
+_FIRST_SQL = f"select c_custkey, c_nationkey, c_mktsegment, date '{FIRST}' start_date, date '9999-12-31' end_date from customer"
+_HISTORY_SQL = f"""select c_custkey, c_nationkey, c_mktsegment, date '{FIRST}' start_date, case when c_custkey % 10 = 0 then date '{SECOND}' - 1 else date '9999-12-31' end::date end_date from customer
+union all select c_custkey, c_nationkey, c_mktsegment || '-2', date '{SECOND}', date '9999-12-31' from customer where c_custkey % 10 = 0"""
+
+
+@query(_FIRST_SQL)
+def scd2_first_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions.apply_snapshot(None, _snapshot(spark, sf_dir), "c_custkey", SEGMENTS, FIRST)
+
+
+@query(_HISTORY_SQL)
+def scd2_second_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir)
+
+
+@query(f"select * from ({_HISTORY_SQL}) where end_date = date '9999-12-31'")
+def scd2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions.open_versions(_history(spark, sf_dir))
+
+
+_TAKE = {"c_mktsegment": "segment", "start_date": "version_start"}
+
+
+@query(f"with h as ({_HISTORY_SQL}) select o_orderkey, o_custkey, o_orderdate::date apply_date, c_mktsegment segment, start_date version_start from orders left join h on o_custkey = c_custkey and o_orderdate::date between start_date and end_date")
+def fact_apply_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _applications(spark, sf_dir).select("o_orderkey", "o_custkey", "apply_date")
+    return dimensions.as_of_join(facts, _history(spark, sf_dir), "o_custkey", F.col("apply_date"), _TAKE, "c_custkey")
+
+
+_STEPS = [(30, "M1"), (60, "M2")]
+_BUCKET_SQL = "case when overdue_days = 0 then 'M0' when overdue_days <= 30 then 'M1' when overdue_days <= 60 then 'M2' else 'M3+' end overdue_bucket"
+
+
+@query(f"with h as ({_HISTORY_SQL}), p as ({_REPAY_SQL}) select l_orderkey, l_linenumber, l_quantity, custkey, repay_date, overdue_days, {_BUCKET_SQL}, (l_extendedprice::decimal(18,2) - l_quantity::decimal(18,2))::double unpaid_amount, c_mktsegment segment, start_date version_start from p left join h on custkey = c_custkey and repay_date between start_date and end_date")
+def fact_repay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _repayments(spark, sf_dir)
+    p = p.select("l_orderkey", "l_linenumber", "l_quantity", "custkey", "repay_date", "overdue_days", bucketize("overdue_days", _STEPS, "M0", "M3+").alias("overdue_bucket"), (money("l_extendedprice") - money("l_quantity")).cast("double").alias("unpaid_amount"))
+    return dimensions.as_of_join(p, _history(spark, sf_dir), "custkey", F.col("repay_date"), _TAKE, "c_custkey")
+
+
+@query(f"with p as ({_REPAY_SQL}) select {_BUCKET_SQL}, count(*) cnt, sum(l_extendedprice::decimal(18,2))::double amt from p group by 1")
+def overdue_bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.summary(_repayments(spark, sf_dir), {"cnt": F.count("*"), "amt": total("l_extendedprice")}, [bucketize("overdue_days", _STEPS, "M0", "M3+").alias("overdue_bucket")])
+
+
+# ------------------------------------------------------------------ upserts, unions, lookups
+
+
+def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    moved = c.select((F.col("c_custkey") + F.when(F.col("c_custkey") % 2 == 0, 1_000_000_000).otherwise(0)).alias("c_custkey"), F.when(F.col("c_custkey") % 3 == 0, F.lit(None)).otherwise("NEW").alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return moved.withColumn("ignored", F.lit(1))
+
+
+_INCOMING_SQL = "select case when c_custkey % 2 = 0 then c_custkey + 1000000000 else c_custkey end c_custkey, case when c_custkey % 3 = 0 then null else 'NEW' end c_mktsegment, c_acctbal + 1 c_acctbal from customer where c_custkey % 7 = 0"
+
+
+def _upsert(spark: SparkSession, sf_dir: str, replace: bool) -> DataFrame:
+    return merge.upsert(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), _incoming(spark, sf_dir), ["c_custkey"], replace)
+
+
+@query(f"with i as ({_INCOMING_SQL}) select coalesce(i.c_custkey, c.c_custkey) c_custkey, coalesce(i.c_mktsegment, c.c_mktsegment) c_mktsegment, coalesce(i.c_acctbal, c.c_acctbal) c_acctbal from customer c full join i on c.c_custkey = i.c_custkey")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upsert(spark, sf_dir, False)
+
+
+@query(f"with i as ({_INCOMING_SQL}) select coalesce(i.c_custkey, c.c_custkey) c_custkey, case when i.c_custkey is null then c.c_mktsegment else i.c_mktsegment end c_mktsegment, case when i.c_custkey is null then c.c_acctbal else i.c_acctbal end c_acctbal from customer c full join i on c.c_custkey = i.c_custkey")
+def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upsert(spark, sf_dir, True)
+
+
+def _scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("income"))
+    f = _applications(spark, sf_dir).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    f = f.select("o_orderkey", F.col("o_custkey").alias("custkey"), "apply_date", F.col("o_totalprice").alias("loan_amnt"), "income", (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    take = {"hist_apply_cnt": "hist_apply_cnt", "hist_approve_cnt": "hist_approve_cnt", "hist_loan_amt": "hist_loan_amt", "hist_overdue_cnt": "hist_overdue_cnt", "overdue_ratio": "hist_overdue_ratio", "hist_repay_cnt": "hist_repay_cnt"}
+    f = metrics.enriched(f, _customer_history(spark, sf_dir), "custkey", take)
+    term = F.pmod(F.col("o_orderkey"), F.lit(5)).cast("int") * 12  # some terms are 0: no instalment then
+    return f.select("*", half_up(F.try_divide(F.col("loan_amnt"), term.cast("double")), 2).alias("installment"), half_up(F.col("income") / 12, 2).alias("monthly_income"), half_up(F.col("loan_amnt") / F.greatest("income", F.lit(1.0)), 4).alias("loan_to_income"))
+
+
+_SCORE_SQL = f"""with {_HIST_SQL} select o_orderkey, o_custkey custkey, o_orderdate::date apply_date, o_totalprice loan_amnt, greatest(c_acctbal, 0) income, case when o_orderstatus = 'F' then 1 else 0 end::int label,
+coalesce(hist_apply_cnt, 0) hist_apply_cnt, coalesce(hist_approve_cnt, 0) hist_approve_cnt, coalesce(hist_loan_amt, 0) hist_loan_amt, coalesce(hist_overdue_cnt, 0) hist_overdue_cnt, coalesce(overdue_ratio, 0) hist_overdue_ratio, coalesce(hist_repay_cnt, 0) hist_repay_cnt,
+floor(o_totalprice / nullif((o_orderkey % 5) * 12, 0) * 100.0 + 0.5) / 100.0 installment, floor(greatest(c_acctbal, 0) / 12 * 100.0 + 0.5) / 100.0 monthly_income, floor(o_totalprice / greatest(greatest(c_acctbal, 0), 1.0) * 10000.0 + 0.5) / 10000.0 loan_to_income
+from orders join customer on o_custkey = c_custkey left join h on h.custkey = o_custkey"""
+
+
+@query(_SCORE_SQL)
+def scorecard_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scorecard(spark, sf_dir)
+
+
+@query("select o_custkey custkey, o_orderkey, o_orderdate::date apply_date, o_totalprice from orders where o_custkey = (select min(o_custkey) from orders) order by o_orderdate::date desc, o_orderkey desc limit 1")
+def latest_features_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _applications(spark, sf_dir).select(F.col("o_custkey").alias("custkey"), "o_orderkey", "apply_date", "o_totalprice")
+    return serving.newest(a, ["apply_date", "o_orderkey"], custkey=a.agg(F.min("custkey")).first()[0])
+
+
+@query("select o_custkey custkey, o_orderkey, o_orderdate::date apply_date from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1")
+def latest_features_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _applications(spark, sf_dir).select(F.col("o_custkey").alias("custkey"), "o_orderkey", "apply_date")
+    return serving.newest_each(a, "custkey", "o_orderkey").select("custkey", "o_orderkey", "apply_date")
+
+
+@query(f"select * from ({_HISTORY_SQL}) where end_date = date '9999-12-31' and c_custkey = 10")
+def dim_current_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.current_version(_history(spark, sf_dir), c_custkey=10)
+
+
+@query("select o_orderdate::date apply_date, count(*) apply_cnt from orders where o_orderdate::date = date '1996-01-02' group by 1")
+def daily_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.daily(metrics.summary(_applications(spark, sf_dir), {"apply_cnt": F.count("*")}, ["apply_date"]), "apply_date", "1996-01-02")
+
+
+@query("with d as (select o_orderdate::date d, count(*) n, sum(o_totalprice::decimal(18,2)) a from orders group by 1) select max(d) latest_day, arg_max(n, d) latest_cnt, sum(n)::bigint total_cnt, sum(a)::double total_amt from d")
+def dashboard_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = metrics.summary(_applications(spark, sf_dir), {"n": F.count("*"), "a": F.sum(money("o_totalprice"))}, ["apply_date"])
+    return d.agg(F.max("apply_date").alias("latest_day"), F.max_by("n", "apply_date").alias("latest_cnt"), F.sum("n").alias("total_cnt"), F.sum("a").cast("double").alias("total_amt"))
+
+
+@query("select c_custkey k, c_name n from customer union all select s_suppkey, s_name from supplier")
+def union_positional_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("n"), F.col("s_suppkey").alias("k"))
+    return merge.union_all(c, s)
+
+
+@query("select distinct l_orderkey, l_linenumber from lineitem")
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+
+
+_TUMBLE_SQL = "select time_bucket(interval '1 minute', ts) window_start, time_bucket(interval '1 minute', ts) + interval '1 minute' window_end, count(*) msg_cnt, sum(value::decimal(18,2))::double amt_sum, sum(case when event_type = 'error' then 1 else 0 end)::bigint overdue_cnt, sum(case when event_type = 'error' then value::decimal(18,2) else 0 end)::double overdue_amt_sum from events where ts is not null group by 1, 2"
+
+
+@query(f"select window_start, msg_cnt from ({_TUMBLE_SQL}) order by window_start desc limit 20")
+def top_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.newest(tumbling_1m(spark, sf_dir), ["window_start"], 20).select("window_start", "msg_cnt")
+
+
+# ------------------------------------------------------------------ windows over events, batch and stream
+
+
+def _window_metrics() -> dict:
+    bad = F.col("event_type") == "error"
+    return {"msg_cnt": F.count("*"), "amt_sum": total("value"), "overdue_cnt": count_where(bad), "overdue_amt_sum": total_where(bad, "value")}
+
+
+def _untimed(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def _tumbling(df: DataFrame, delay: str | None = None) -> DataFrame:
+    return windows.tumbling(df.select("ts", "value", "event_type"), "ts", "1 minute", _window_metrics(), delay)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.parquet_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
+
+
+@query(_TUMBLE_SQL)
+def tumbling_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _untimed(_tumbling(table(spark, sf_dir, "events")))
+
+
+@query(_TUMBLE_SQL)
+def tumbling_1m_stream_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "stream-complete")
+    stream = _tumbling(_event_stream(spark, sf_dir), "1 minute")
+    sinks.replacing_sink(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return _untimed(sinks.latest_batch(spark, f"{path}/out", stream.schema))
+
+
+@query(f"select * from ({_TUMBLE_SQL}) where window_end <= (select max(ts) from events) - interval '1 minute'")
+def tumbling_1m_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that the watermark hasn't passed at the end of what is there stay in state."""
+    path = workspace(spark, "stream-append")
+    stream = _tumbling(_event_stream(spark, sf_dir), "1 minute")
+    sinks.file_sink(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return _untimed(spark.read.schema(stream.schema).parquet(f"{path}/out"))
+
+
+@query("""with b as (select count(*)::double c, sum(value::decimal(18,2))::double a from events), s as (select * from b)
+select 'count' metric, b.c batch, s.c stream, abs(s.c - b.c) abs_diff, abs(s.c - b.c) / b.c rel_diff, true passed from b, s
+union all select 'amount', b.a, s.a, abs(s.a - b.a), abs(s.a - b.a) / b.a, true from b, s""")
+def reconcile_batch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.reconcile(table(spark, sf_dir, "events"), "value", tumbling_1m_stream_complete(spark, sf_dir), "msg_cnt", "amt_sum")
+
+
+# ------------------------------------------------------------------ quality
+
+
+@query("select 'key_uniqueness' rule, (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem))::double / count(*) as value, 1.0::double threshold, (select count(*) from (select distinct l_orderkey, l_linenumber from lineitem)) = count(*) passed from lineitem")
+def dq_pk_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.key_uniqueness(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("select 'null_rate' rule, greatest(count(*) filter (c_mktsegment is null), count(*) filter (c_custkey is null))::double / count(*) as value, 0.05::double threshold, greatest(count(*) filter (c_mktsegment is null), count(*) filter (c_custkey is null))::double / count(*) <= 0.05 passed from (" + _INCOMING_SQL + ")")
+def dq_null_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.null_rate(_incoming(spark, sf_dir), ["c_custkey", "c_mktsegment"])
+
+
+@query("with d as (select 'orders' tbl, o_orderdate::date dt, count(*) n from orders group by 2), b as (select *, lag(n) over (order by dt) p from d) select tbl, dt, n, case when p > 0 then abs(n - p)::double / p end as value, coalesce(case when p > 0 then abs(n - p)::double / p end <= 0.5, true) passed from b")
+def dq_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = metrics.summary(_applications(spark, sf_dir), {"n": F.count("*")}, [F.lit("orders").alias("tbl"), F.col("apply_date").alias("dt")])
+    return quality.volatility(d, "tbl", "dt", "n")
+
+
+@query("select 'not_empty' rule, count(*)::double as value, 1.0::double threshold, count(*) >= 1 passed from orders union all select 'key_uniqueness', 1.0, 1.0, true union all select 'null_rate', 0.0, 0.05, true")
+def dq_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.suite(table(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+@query("select user_id, event_type, arg_max(value, event_id) as value from events group by 1, 2")
+def ledger_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.latest_entries(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value", "event_id")
+
+
+# ------------------------------------------------------------------ skew
+
+
+_SUM_SQL = "select case when user_id % 10 < 9 then 0 else user_id end k, sum(value::decimal(18,2))::double amt from events group by 1"
+
+
+def _skewed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 10 < 9, 0).otherwise(F.col("user_id")).alias("k"), "value")
+
+
+@query(_SUM_SQL)
+def direct_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.keyed_sum(_skewed_events(spark, sf_dir), "k", money("value"), "amt").withColumn("amt", F.col("amt").cast("double"))
+
+
+@query(_SUM_SQL)
+def salted_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.salted_sum(_skewed_events(spark, sf_dir), "k", money("value"), "amt", 16, ["event_id"]).withColumn("amt", F.col("amt").cast("double"))
+
+
+# ------------------------------------------------------------------ sources and sinks
+
+
+@query("select o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderdate from orders")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "csv")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
+    o.write.option("header", True).option("timestampFormat", readers.TIMESTAMP_FORMAT).csv(path)
+    got = readers.csv(spark, path, "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderdate timestamp")
+    return got.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query("select o_orderkey, 'dt=' || (o_orderdate::date)::varchar source_file from orders where o_orderdate::date in (date '1996-01-02', date '1996-01-03')")
+def csv_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days' exports, each read with its folder's name as the audit column."""
+    root, out = workspace(spark, "csv-days"), []
+    for d in ("1996-01-02", "1996-01-03"):
+        serving.daily(_applications(spark, sf_dir), "apply_date", d).select("o_orderkey").write.option("header", True).csv(f"{root}/dt={d}")
+        out.append(readers.with_audit(readers.csv(spark, f"{root}/dt={d}", "o_orderkey long"), f"dt={d}").drop("etl_time"))
+    return merge.union_all(*out)
+
+
+_EVENT_SCHEMA = "event_id long, user_id long, event_type string, value double"
+
+
+@query("select event_id, user_id, event_type, value from events")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with a broken line, a blank one, a file in progress and one of another system beside them."""
+    path = workspace(spark, "json")
+    table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").write.json(path)
+    files = Files(spark)
+    files.write(f"{path}/broken.json", '{"event_id": 1, "user_id"\n\nnot json\n')
+    files.write(f"{path}/._other.json", '{"event_id": -1}\n')
+    return readers.json_lines(spark, path, _EVENT_SCHEMA)
+
+
+@query("select event_id, user_id, event_type, value from events")
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as a bus carries them; what is no JSON is left out."""
+    sent = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("value"))
+    bad = spark.createDataFrame([("oops",), ('{"event_id": ',), (None,)], "value string")
+    return readers.from_payload(sent.unionByName(bad), _EVENT_SCHEMA)
+
+
+@query("select event_id, value from events")
+def landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing batches of JSON lines, consumed by a file stream, as a table."""
+    path = workspace(spark, "landing")
+    sinks.landing_batches(table(spark, sf_dir, "events").select("event_id", "value"), path, "2024-01-01", 3, "event_id")
+    stream = readers.json_stream(spark, f"{path}/batch_*", "event_id long, value double")
+    sinks.file_sink(stream, f"{path}-out", f"{path}-checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, value double").parquet(f"{path}-out")
+
+
+def _by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _applications(spark, sf_dir).select("o_orderkey", "o_totalprice", F.trunc("apply_date", "year").alias("dt"))
+
+
+@query("select o_orderkey, case when year(o_orderdate) = 1997 then 0.0 else o_totalprice end o_totalprice, (date_trunc('year', o_orderdate)::date)::varchar dt from orders")
+def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition written again, the others untouched."""
+    path = workspace(spark, "partitions")
+    sinks.overwrite_partitions(_by_year(spark, sf_dir), path)
+    sinks.overwrite_day(_by_year(spark, sf_dir).where("dt = date'1997-01-01'").select("o_orderkey", F.lit(0.0).alias("o_totalprice")), path, "1997-01-01")
+    return readers.partitions(spark, path)
+
+
+@query("select o_orderkey, o_totalprice from orders where year(o_orderdate) = 1996")
+def leaf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "leaves")
+    sinks.overwrite_partitions(_by_year(spark, sf_dir), path)
+    return readers.leaf(spark, path, "1996-01-01")
+
+
+@query("select (date_trunc('year', o_orderdate)::date)::varchar dt, count(*) n from orders where year(o_orderdate) <= 1997 group by 1")
+def partitions_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "until")
+    sinks.overwrite_partitions(_by_year(spark, sf_dir), path)
+    return metrics.summary(readers.partitions(spark, path, "1997-12-31"), {"n": F.count("*")}, ["dt"])
+
+
+@query("select o_orderdate::date apply_date, count(*) apply_cnt from orders group by 1")
+def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "export")
+    sinks.export_csv(metrics.summary(_applications(spark, sf_dir), {"apply_cnt": F.count("*")}, ["apply_date"]), path, "apply_date")
+    return readers.csv(spark, path, "apply_date date, apply_cnt long")
+
+
+@query("select c_custkey, sha256_48(c_custkey) h from customer".replace("sha256_48(c_custkey)", "('0x' || substr(sha256('app|' || c_custkey::varchar), 1, 12))::bigint"))
+def stable_hash_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", stable_hash(F.lit("app"), "c_custkey").alias("h"))
+
+
+_H = "('0x' || substr(sha256(cid), 1, 12))::bigint"
+_CUSTOMERS_SQL = f"""with i as (select 'C' || lpad(i::varchar, 6, '0') cid from range(1, 2001) t(i)), h as (select cid, {_H} h, case when ('0x' || substr(sha256(cid || '|2024-01-02'), 1, 12))::bigint % 100 = 0 then 1 else 0 end drift from i)
+select cid customer_id, case when h % 2 = 1 then 'M' else 'F' end gender, (22 + h % 40)::int age, {readers.EDUCATIONS!r}[(h % 5 + 1)::int] education, {readers.OCCUPATIONS!r}[((h // 7 + drift) % 7 + 1)::int] occupation, (date '2020-01-01' + (h % 1500)::int)::date::varchar register_date from h"""
+
+
+@query(_CUSTOMERS_SQL)
+def generated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.customers(spark, 2000, "2024-01-02").select("customer_id", "gender", "age", "education", "occupation", "register_date")
+
+
+@query("select 5000::bigint n, 5000::bigint ids, true in_range, true shares")
+def generated_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = readers.applications(spark, 5000, 2000, "2024-01-02")
+    p = readers.repayments(a, "2024-01-02").agg(F.count("*").alias("flows"), F.avg((F.col("overdue_days") > 0).cast("int")).alias("late"))
+    fits = (F.col("loan_amnt").between(5000, 299999)) & F.col("fico_score").between(620, 859) & F.col("dti").between(0.05, 0.6) & (F.to_date("apply_time") == F.lit("2024-01-02").cast("date"))
+    one = a.agg(F.count("*").alias("n"), F.countDistinct("application_id").alias("ids"), F.bool_and(fits).alias("in_range"), F.sum("is_approved").alias("approved")).join(p, F.col("approved") == F.col("flows"))
+    return one.select("n", "ids", "in_range", (F.abs(F.col("approved") / F.col("n") - 0.72) < 0.03).alias("shares") & (F.abs(F.col("late") - 0.12) < 0.03)).toDF("n", "ids", "in_range", "shares")
+
+
+@query("select 300000::bigint n, true mostly_hot, 100::bigint hot_keys")
+def skewed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = F.col("key").startswith("hot")
+    s = readers.skewed(spark, 300_000)
+    return s.agg(F.count("*").alias("n"), (F.abs(F.avg(hot.cast("int")) - 0.95) < 0.01).alias("mostly_hot"), F.countDistinct(F.when(hot, F.col("key"))).alias("hot_keys"))
+
+
+_RAW_SQL = "select c_custkey id, 'C' || lpad(c_custkey::varchar, 8, '0') customer_id, (25 + c_custkey % 35)::int age, case when c_acctbal * 100 > 100000 then 'bachelor' else 'college' end education, coalesce(case when c_custkey % 4 = 0 then null else substr(c_name, 1, 20) end, 'other') occupation, 'region' || c_nationkey city from customer order by ('0x' || substr(sha256(c_custkey::varchar), 1, 12))::bigint, c_custkey limit 100"
+
+
+@query(f"select customer_id, age, education, occupation, city from ({_RAW_SQL})")
+def external_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    raw = c.select(
+        F.col("c_custkey").alias("id"), (F.col("c_acctbal") * 100).alias("annualIncome"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("employmentTitle"), F.col("c_nationkey").alias("regionCode"), F.lit(10000).alias("loanAmnt"), F.lit(36).alias("term"),
+        F.lit(0.1).alias("interestRate"), F.lit("car").alias("purpose"), F.lit("B").alias("grade"), F.lit(None).cast("double").alias("dti"), F.lit(700).alias("ficoRangeLow"), F.lit("0").alias("verificationStatus"), F.lit("1").alias("homeOwnership"), F.lit(0).alias("isDefault"),
+    )
+    return readers.external_loans(raw, 100, "2024-01-02")[0].select("customer_id", "age", "education", "occupation", "city")
+
+
+@query("select c_custkey from customer order by ('0x' || substr(sha256(c_custkey::varchar), 1, 12))::bigint, c_custkey limit 50")
+def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.sampled(table(spark, sf_dir, "customer").select("c_custkey"), 50, "c_custkey")
+
+
+# ------------------------------------------------------------------ versioned tables, maintenance, governance
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    store = SnapshotStore(spark, workspace(spark, "store"), {"customers"})
+    store.commit("customers", table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
+    store.merge("customers", _incoming(spark, sf_dir), ["c_custkey"])
+    return store
+
+
+@query("select c_custkey, c_mktsegment, c_acctbal from customer")
+def snapshot_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first version, after a merge has made a second."""
+    return _versioned(spark, sf_dir).read("customers", version=0)
+
+
+@query(_oracles["upsert_merge"])
+def snapshot_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versioned(spark, sf_dir).read("customers")
+
+
+@query(f"select 'overwrite' operation, 0 keys, count(*) row_count, true is_root from customer union all select 'merge', 1, (select count(*) from ({_oracles['upsert_merge']})), false")
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _versioned(spark, sf_dir).history("customers")
+    return h.select("operation", F.size("merge_keys").alias("keys"), "row_count", F.col("parent_id").isNull().alias("is_root"))
+
+
+@query("select count(*) n, sum(l_extendedprice::decimal(18,2))::double amt, true due, true fewer from lineitem")
+def compaction_preserves_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "small-files")
+    table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice").repartition(16).write.parquet(path)
+    done = maintenance.compact(spark, path)
+    rows = spark.read.parquet(path).agg(F.count("*").alias("n"), total("l_extendedprice").alias("amt"))
+    return rows.select("n", "amt", F.lit(done.due).alias("due"), F.lit(done.files_after < done.files_before).alias("fewer"))
+
+
+@query("select 2::bigint files, true is_data")
+def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "files")
+    table(spark, sf_dir, "nation").repartition(2).write.parquet(path)
+    return readers.file_sizes(spark, path).select("files", (F.col("bytes") > 0).alias("is_data"))
+
+
+REGISTRY = {
+    "ods.customer": {"layer": "ods", "path": "customer.parquet", "columns": {"c_custkey": {"type": "long", "from": "export customer.c_custkey"}, "c_name": {"type": "string", "from": "export customer.c_name"}, "c_acctbal": {"type": "string", "from": "export"}, "c_phone": {"type": "string", "from": "export"}}},
+    "ods.orders": {"layer": "ods", "path": "orders.parquet", "columns": {c: {"type": t, "from": "export"} for c, t in {"o_orderkey": "long", "o_custkey": "long", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}.items()}},
+    "ods.absent": {"layer": "ods", "path": "absent.parquet", "columns": {"x": {"type": "int", "from": "export"}}},
+    "dwd.fact_apply": {"layer": "dwd", "path": "fact.json", "format": "json", "columns": {"custkey": {"type": "long", "from": "ods.orders.o_custkey"}, "name": {"type": "string", "from": "ods.customer.c_name"}}},
+    "dws.apply_day": {"layer": "dws", "path": "day.json", "format": "json", "columns": {"cnt": {"type": "long", "from": "count of dwd.fact_apply.custkey"}, "amt": {"type": "double", "from": "ods.orders.o_totalprice"}}},
+}
+#: Names that hold for the reader of this registry only.
+_DRIFT_SQL = """select * from (values ('ods.customer', 'c_acctbal', 'string', 'double', 'type'), ('ods.customer', 'c_phone', 'string', null, 'missing'), ('ods.customer', 'c_nationkey', null, 'int', 'extra'),
+('ods.customer', 'c_mktsegment', null, 'string', 'extra'), ('ods.absent', null, null, null, 'skipped')) t("table", "column", registered, actual, drift)"""
+
+
+@query(_DRIFT_SQL)
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actual = governance.schema_rows(spark, {"ods.customer": table(spark, sf_dir, "customer").schema, "ods.orders": table(spark, sf_dir, "orders").schema})
+    expected = governance.as_rows(spark, {t: s for t, s in REGISTRY.items() if s.get("format") != "json"})
+    return governance.drift(expected, actual)
+
+
+@query("select * from (values ('ods.orders', 'dwd.fact_apply'), ('ods.customer', 'dwd.fact_apply'), ('dwd.fact_apply', 'dws.apply_day'), ('ods.orders', 'dws.apply_day'), ('bus.events', 'dws.apply_day')) t(source, target)")
+def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = spark.createDataFrame([("dws.apply_day", "bus://events")], "table string, source string")
+    return governance.edges(governance.as_rows(spark, REGISTRY), outer)
+
+
+@query("select 3::bigint tasks, 50::bigint max_ms, 30::bigint median_ms, 90::bigint total_ms, 6::bigint shuffle_bytes")
+def task_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event log's task figures, from a small log written here."""
+    path = f"{workspace(spark, 'events')}.log"
+    task = '{"Event":"SparkListenerTaskEnd","Task Metrics":{"Executor Run Time":%d,"Shuffle Write Metrics":{"Shuffle Bytes Written":%d}}}'
+    Files(spark).write(path, "\n".join([task % (50, 1), '{"Event":"SparkListenerJobEnd"}', task % (10, 2), task % (30, 3), "cut off {"]))
+    return readers.task_metrics(spark, path)
+
+
+@query("select tbl as \"table\", dt, rowcount from (values ('orders', '1996-01-02', 12::bigint)) t(tbl, dt, rowcount)")
+def ledger_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger written twice for the same day: the later entry counts."""
+    path = workspace(spark, "ledger")
+    for n, at in ((11, "2024-01-01 00:00:00"), (12, "2024-01-02 00:00:00")):
+        sinks.append_ledger(spark.createDataFrame([("orders", "1996-01-02", n)], "table string, dt string, rowcount long").withColumn("checked_at", F.lit(at).cast("timestamp")), path)
+    return quality.latest_entries(sinks.ledger(spark, path), ["table", "dt"], "rowcount", "checked_at")
+
+
+@query("select n_name, count(*) cnt from customer join nation on c_nationkey = n_nationkey group by 1")
+def stored_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages with a written table between them."""
+    c = stored(table(spark, sf_dir, "customer").select("c_nationkey"), "stage")
+    return c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("cnt"))
