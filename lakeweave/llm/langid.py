@@ -32,10 +32,17 @@ def _letters() -> np.ndarray:
 
 
 def gram_buckets(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each order (buckets, texts they belong to), and whether each text has a letter."""
+    """For each order (buckets, texts they belong to), and whether each text has a letter.
+
+    A text stands between one blank and two more, so that a gram that begins in it ends in its own blanks; grams that
+    would begin in the last two are left out, as are those without letters.
+    """
     texts = [t.lower() for t in texts]
-    code = np.frombuffer(("".join(f"{t}\0\0" for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    text = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+    code = np.frombuffer(("".join(f"\0{t}\0\0" for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(texts)), size := np.array([len(t) + 3 for t in texts]))
+    begins = np.ones(len(code), bool)
+    for back in (1, 2):
+        begins[np.cumsum(size) - back] = False
     letter = _letters()[code]
     code = np.where(letter, code, np.uint32(32))
     out, key, some = [], np.zeros(len(code), np.uint32), np.zeros(len(code), bool)
@@ -43,7 +50,8 @@ def gram_buckets(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]],
         m = len(code) - n
         key, some = (key[:m] ^ code[n:]) * np.uint32(0x9E3779B1) + np.uint32(n), some[:m] | letter[n:]
         mixed = (key ^ key >> np.uint32(15)) * np.uint32(0x85EBCA6B)
-        out.append(((mixed >> np.uint32(32 - BUCKET_BITS))[some], text[:m][some]))
+        take = some & begins[:m]
+        out.append(((mixed >> np.uint32(32 - BUCKET_BITS))[take], text[:m][take]))
     return out, np.bincount(text, letter, len(texts)) > 0
 
 
