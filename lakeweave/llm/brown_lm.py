@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes, with_id, written
+from .common import in_arrow, pieces, text_bytes, with_id, written
 
 #: Words that are clustered, and classes for them.
 CLUSTERED, CLASSES = 2048, 64
@@ -66,7 +66,7 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, shape tinyint, n long")
+    rows = df.select(F.col(text_col).alias("text")).transform(in_arrow, run, "word string, shape tinyint, n long")
     return rows.groupBy("word").agg(F.first("shape").alias("shape"), F.sum("n").alias("n"))
 
 
@@ -119,7 +119,7 @@ def bigrams(df: DataFrame, index: dict[bytes, int], text_col: str = "text") -> n
         return pa.table({"at": t["at"][:1], "part": t["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     schema = "at int, part int, counts binary"
-    rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = df.select(F.col(text_col).alias("text")).transform(in_arrow, run, schema)
     rows = rows.groupBy("at", "part").applyInArrow(add, schema).groupBy("at").applyInArrow(add, schema)
     out = np.zeros((size, size), np.int64)
     for r in rows.collect():
@@ -299,13 +299,13 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("th").take(take), pa.array([w.decode() for w in word], pa.string()), pa.array([shape(w) for w in word], pa.int8()), pa.array(times, pa.int32())], ["id", "th", "word", "s", "times"])
 
     kind = with_id(df, id_col, "x int")["id"].dataType.simpleString()
-    rows = keyed.mapInArrow(known, f"id {kind}, th int, row long, n_tokens long, n_known long, base double, model double")
+    rows = keyed.transform(in_arrow, known, f"id {kind}, th int, row long, n_tokens long, n_known long, base double, model double")
     c, d = F.coalesce(F.col("n"), F.lit(0)), F.lit(model.discount)
     in_open = F.element_at(F.array(*map(F.lit, model.open_tokens.tolist())), F.col("s").cast("int") + 1)
     types = F.element_at(F.array(*map(F.lit, model.open_types.tolist())), F.col("s").cast("int") + 1)
     unseen = F.when(in_open > 0, F.log10(F.greatest(types, F.lit(1.0)) * d / F.greatest(in_open, F.lit(1.0)))).otherwise(F.lit(0.0))
     emitted = F.when(c > 0, F.log10((c - d) / in_open)).otherwise(unseen)
-    tail = keyed.mapInArrow(rare, f"id {kind}, th int, word string, s tinyint, times int").join(model.tail.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"), "left")
+    tail = keyed.transform(in_arrow, rare, f"id {kind}, th int, word string, s tinyint, times int").join(model.tail.select(F.col("word").alias("w"), "n"), F.col("word") == F.col("w"), "left")
     tail = tail.select("id", "th", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("n_tokens"), F.when(c > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("times") * (F.log10(c + 1.0) - all_log)).alias("base"), (F.col("times") * emitted).alias("model"))
     both = rows.union(tail).groupBy("id", "th").agg(*[F.sum(x).alias(x) for x in ("row", "n_tokens", "n_known", "base", "model")])
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("row"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a kernel takes at a time; bounds the numpy arrays of a Python worker.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +60,31 @@ def with_id(df: DataFrame, id_col: str, ddl: str) -> StructType:
     return StructType([StructField("id", df.schema[id_col].dataType), *StructType.fromDDL(ddl).fields])
 
 
+#: Bytes of an Arrow batch that a task gets at a time, instead of Spark's 64 MB: what a Python worker and its JVM
+#: hold grows with it.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) over small batches. The session keeps the setting, since plans run later."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Hands memory that was freed back to the system: workers live on for later tasks, whose needs differ."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library has it on Linux
+    if trim:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column in UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

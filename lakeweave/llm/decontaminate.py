@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_bytes, with_id
+from .common import in_arrow, pieces, text_bytes, with_id
 from .hashing import grams, within, word_hashes
 
 U64 = np.uint64
@@ -193,7 +193,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, least: int = TILE, coverage: floa
                     t, i, *more = map(list, zip(*got, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(t)), pa.array([sent.value.ids[x] for x in i], pa.int64()), *(pa.array(x, pa.int32()) for x in more)], ["id", item_col, "tiles", "covered", "item_words"])
 
-        got = rows.mapInArrow(run, schema)
+        got = rows.transform(in_arrow, run, schema)
         out = got if out is None else out.union(got)
     if out is None:
         out = df.sparkSession.createDataFrame([], schema)
@@ -211,5 +211,5 @@ def clean(df: DataFrame, benchmark: DataFrame, least: int = TILE, coverage: floa
                 keep[[t for t, *_ in sent.value.leaks(text_bytes(b.column(text_col)))]] = False
                 yield b.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.transform(in_arrow, run, df.schema)
     return df

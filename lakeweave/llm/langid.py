@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, with_id
+from .common import in_arrow, pieces, with_id
 
 ORDERS, BUCKET_BITS, BLOCK, SMOOTHING = 3, 16, 1024, 0.5
 #: Languages that the broadcast matrix may have: 128 MB.
@@ -105,7 +105,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
 
     schema = "lang string, block int, docs long, counts binary"
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = rows.mapInArrow(count, schema).groupBy("lang", "block").applyInArrow(add, schema).collect()
+    rows = rows.transform(in_arrow, count, schema).groupBy("lang", "block").applyInArrow(add, schema).collect()
     langs = sorted({r.lang for r in rows})
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded at {MOST_LANGUAGES}")
@@ -130,7 +130,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             lang, score = sent.value.predict([x or "" for x in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, with_id(df, id_col, "lang_pred string, score double")).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, with_id(df, id_col, "lang_pred string, score double")).withColumnRenamed("id", id_col)
 
 
 def keep_known(df: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -148,4 +148,4 @@ def keep_known(df: DataFrame, model: Model, least: float, text_col: str = "text"
             columns = [*b.columns[:at], pa.array(lang, pa.string()), *b.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(in_arrow, run, df.schema)

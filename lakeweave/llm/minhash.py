@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, with_id
+from .common import in_arrow, pieces, with_id
 from .hashing import grams, mix, within, word_hashes
 
 U64 = np.uint64
@@ -78,7 +78,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             got = packed(*signatures([(x or "").encode() for x in b.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.string())], ["id", "fingerprint"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, with_id(df, id_col, "fingerprint string")).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, with_id(df, id_col, "fingerprint string")).withColumnRenamed("id", id_col)
 
 
 def with_successor(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +106,7 @@ def with_successor(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             tail = np.arange(len(take)) >= len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(tail), b.column("id").take(pa.array(take)), b.column("text").take(pa.array(take))], ["bucket", "tail", "id", "text"])
 
-    dealt = rows.mapInArrow(deal, "bucket int, tail boolean, id long, text string")
+    dealt = rows.transform(in_arrow, deal, "bucket int, tail boolean, id long, text string")
     return dealt.repartitionById(len(ends) + 1, "bucket").sortWithinPartitions("bucket", "tail", F.col("id").asc_nulls_last(), F.xxhash64("text"))
 
 
@@ -143,4 +143,4 @@ def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             )
 
     schema = "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_successor(df, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return with_successor(df, id_col, text_col).transform(in_arrow, run, schema).withColumnRenamed("id", id_col)

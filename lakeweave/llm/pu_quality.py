@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, with_id
+from .common import in_arrow, pieces, with_id
 from .hashing import grams, within, word_hashes
 
 HASHED = 1024
@@ -163,7 +163,7 @@ def fit(df: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("kind"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "kind", "x"])
 
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("key") == F.col("id")).select("id", "kind", "text")
-    got = rows.mapInArrow(run, "id long, kind int, x binary").toArrow().sort_by([("kind", "ascending"), ("id", "ascending"), ("x", "ascending")])
+    got = rows.transform(in_arrow, run, "id long, kind int, x binary").toArrow().sort_by([("kind", "ascending"), ("id", "ascending"), ("x", "ascending")])
     kind = np.asarray(got["kind"])
     width = WIDTH
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, width)
@@ -191,4 +191,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             got = sent.value.score(features([(t or "").encode() for t in b.column("text").to_pylist()]).astype(np.float64))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got)], ["id", "score"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, with_id(df, id_col, "score double")).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, with_id(df, id_col, "score double")).withColumnRenamed("id", id_col)

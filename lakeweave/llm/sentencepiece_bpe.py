@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, with_id
+from .common import in_arrow, pieces, with_id
 
 #: The library's mark of a space in pieces, and its piece types.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks (a word with its marks) whose ids a worker remembers of each kind; beyond that the memory is emptied.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 class Merges:
@@ -79,7 +79,7 @@ class Merges:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether two pieces stay as they are when their text is merged anew."""
-        if len(self.pairs) >= 1 << 20:
+        if len(self.pairs) >= 1 << 19:
             self.pairs.clear()
         x, y = self.pieces[a], self.pieces[b]
         got = self.pairs[a * len(self.pieces) + b] = self.merged(x + y) == (x, y)
@@ -233,4 +233,4 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             ids = [model.encode(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(model.decode, ids), pa.string())], ["id", "ids", "decoded"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, schema).withColumnRenamed("id", id_col)

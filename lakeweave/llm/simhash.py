@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, pieces, text_bytes, with_id, written
+from .common import connected_components, in_arrow, pieces, text_bytes, with_id, written
 
 U64 = np.uint64
 BITS, SHINGLE, SEED, BUDGET = 64, 4, 42, 4
@@ -57,7 +57,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got = np.array([fingerprint(t, shingle) for t in text_bytes(b.column("text"))], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got)], ["id", "fingerprint"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, schema).withColumnRenamed("id", id_col)
 
 
 def block_edges(budget: int) -> list[int]:
@@ -222,7 +222,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint") -
         if len(rest[0]):
             yield done(rest[0], rest[2], rest[1])
 
-    return units.mapInArrow(run, "a long, b long").distinct()
+    return units.transform(in_arrow, run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:

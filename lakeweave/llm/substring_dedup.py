@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import drop_path, new_path, pieces, text_bytes, written
+from .common import drop_path, in_arrow, new_path, pieces, text_bytes, written
 from .hashing import grams, mix, sliding_min, within, word_hashes
 
 U64 = np.uint64
@@ -53,7 +53,7 @@ def _counted(df: DataFrame, text_col: str, window: int) -> DataFrame:
                 got, n = np.unique(fp[np.concatenate(([True], place[1:] != place[:-1]))], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["fp", "n"])
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "fp long, n tinyint")
+    return df.select(F.col(text_col).alias("text")).transform(in_arrow, run, "fp long, n tinyint")
 
 
 class FingerprintIndex:
@@ -172,7 +172,7 @@ def repeated_windows(df: DataFrame, window: int, bitmap, id_col: str = "doc_id",
                 ["id", "th", "at", "w1", "w2", "n"],
             )
 
-    found = written(keyed.mapInArrow(candidates, schema), "window-candidates")
+    found = written(keyed.transform(in_arrow, candidates, schema), "window-candidates")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.where("n < 3").repartition(parts, "w1").sortWithinPartitions("w1", "w2")
 
@@ -203,7 +203,7 @@ def repeated_windows(df: DataFrame, window: int, bitmap, id_col: str = "doc_id",
             if keep.any():
                 yield b.select(["id", "th", "at"]).filter(pa.array(keep))
 
-    sure = dealt.mapInArrow(verify, f"id {keyed.schema['id'].dataType.simpleString()}, th int, at int")
+    sure = dealt.transform(in_arrow, verify, f"id {keyed.schema['id'].dataType.simpleString()}, th int, at int")
     return sure.union(found.where("n = 3").select("id", "th", "at")).groupBy("id", "th").agg(F.collect_list("at").alias("at"))
 
 
@@ -264,6 +264,6 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), b.column("rest")], ["id", "n_words", "n_removed", "kept", "rest"])
 
     out = StructType([keyed.schema["id"], *StructType.fromDDL("n_words long, n_removed long, kept string"), keyed.schema["rest"]])
-    left = keyed.mapInArrow(rest, keyed.schema).join(flags, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "rest", "at")
-    done = keyed.mapInArrow(whole, out).union(left.mapInArrow(cut, out)).withColumnRenamed("id", id_col)
+    left = keyed.transform(in_arrow, rest, keyed.schema).join(flags, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "rest", "at")
+    done = keyed.transform(in_arrow, whole, out).union(left.transform(in_arrow, cut, out)).withColumnRenamed("id", id_col)
     return done if carry else done.drop("rest")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import in_arrow, new_path, written
 
 #: Records that a file holds at most: a file is the unit of reading.
 RECORDS = 4000
@@ -141,7 +141,7 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
         if out is not None:
             yield close()
 
-    return written(rows.mapInArrow(run, "file string, records long"), "warc-files")
+    return written(rows.transform(in_arrow, run, "file string, records long"), "warc-files")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def read(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), *(pa.array(cols[x], k) for x, k in zip(names, kinds, strict=True))], ["run", "seq", *names])
 
     n = max(1, min(files.count(), 100_000))
-    return files.repartition(n).mapInArrow(run, f"run string, seq long, {INDEX}")
+    return files.repartition(n).transform(in_arrow, run, f"run string, seq long, {INDEX}")
 
 
 def _indexed(headers: dict[str, str], block: bytes, file: str, offset: int, size: int) -> tuple:
@@ -261,8 +261,8 @@ def histories(runs: DataFrame) -> DataFrame:
         if rows:
             yield from out()
 
-    dealt = runs.mapInArrow(deal, f"part int, run string, seq long, {INDEX}").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "run", "seq")
-    done = written(dealt.mapInArrow(merge, f"part int, place long, {INDEX}"), "warc-index")
+    dealt = runs.transform(in_arrow, deal, f"part int, run string, seq long, {INDEX}").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", "run", "seq")
+    done = written(dealt.transform(in_arrow, merge, f"part int, place long, {INDEX}"), "warc-index")
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     firsts = done.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("rows")).select("p", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
     return done.join(firsts, F.col("part") == F.col("p")).select((F.col("first") + F.col("place")).alias("position"), *[x.split()[0] for x in INDEX.split(", ")])
