@@ -8,6 +8,7 @@ bin are packed. Two bins that differ still agree in 4 bits with chance 1/16, for
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +41,35 @@ def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, shingle:
     return densified(least), count > 0
 
 
+#: Attempts, over all empty bins, that densification makes at a time.
+LOOKED = 1 << 20
+
+
+@functools.lru_cache(64)
+def _looks(bins: int, done: int, step: int) -> np.ndarray:
+    """The bins that each bin looks at in attempts done + 1 to done + step."""
+    attempt = np.arange(done + 1, done + step + 1, dtype=U64) << U64(20)
+    return (mix(np.arange(bins, dtype=U64)[:, None] + attempt[None, :]) % U64(bins)).astype(np.int16)
+
+
 def densified(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Fills EMPTY bins of rows that have any other; then the low bits of all bins."""
     rows, bins = least.shape
     filled = least != EMPTY
     row, bin_ = np.nonzero(~filled & filled.any(axis=1, keepdims=True))
-    out, attempt = least.copy(), 0
+    out, done, step = least.copy(), 0, 4
     while len(row):
-        attempt += 1
-        look = (mix(bin_.astype(U64) + U64(attempt << 20)) % U64(bins)).astype(np.int64)
-        found = filled[row, look]
-        out[row[found], bin_[found]] = least[row[found], look[found]]
-        row, bin_ = row[~found], bin_[~found]
+        look = _looks(bins, done, step)
+        wait = []
+        for at in range(0, len(row), LOOKED // step):
+            r, b = row[at : at + LOOKED // step], bin_[at : at + LOOKED // step]
+            hit = filled[r[:, None], look[b]]
+            found = hit.any(axis=1)
+            r, b, first, rest = r[found], b[found], hit[found].argmax(axis=1), ~found
+            out[r, b] = least[r, look[b, first]]
+            wait.append((row[at : at + LOOKED // step][rest], bin_[at : at + LOOKED // step][rest]))
+        row, bin_ = (np.concatenate(x) for x in zip(*wait, strict=True))
+        done, step = done + step, min(4 * step, 256)
     # a value that fills several bins is hashed anew with each bin's number, so that its bits agree by chance in each apart
     own = mix(out ^ np.arange(1, bins + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
     return (own & U64((1 << bits) - 1)).astype(np.uint8)
