@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, in_arrow, pieces, text_bytes, with_id, written
+from .hashing import mix, word_hashes
 
 U64 = np.uint64
 BITS, SHINGLE, SEED, BUDGET = 64, 4, 42, 4
 #: Node pairs that a traversal expands at a time; the rest wait on a stack.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
+#: Rows of whole units that a task joins at a time; a larger unit is joined alone.
+PORTION = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -102,12 +105,22 @@ class Forest:
 def trie_join(values: np.ndarray, root_bits: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (positions) within each root that connect all pairs of values within the budget.
 
+    The tries are traversed with budgets 1, 2, ... in turn, so that the links are those of least distance.
+
     values: distinct within a root, sorted by (root, value); root_bits: for each, a number of its root. The roots'
     leading bits are equal below each root, so the descent starts at the first bit in which a range differs.
     """
     forest = Forest(len(values))
-    if len(values) < 2:
+    for most in range(1, budget + 1):
+        _traverse(forest, values, root_bits, most)
+    if not forest.edges:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*forest.edges, strict=True))
+
+
+def _traverse(forest: Forest, values: np.ndarray, root_bits: np.ndarray, budget: int) -> None:
+    if len(values) < 2:
+        return
     cut = np.flatnonzero(np.diff(root_bits)) + 1
     lo = np.concatenate(([0], cut)).astype(np.int64)
     hi = np.concatenate((cut, [len(values)])).astype(np.int64)
@@ -180,13 +193,12 @@ def trie_join(values: np.ndarray, root_bits: np.ndarray, budget: int) -> tuple[n
         for x in (far, near):  # the nearer half on top: early links prune later pairs
             if len(x[0]):
                 stack.append(x)
-    if not forest.edges:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*forest.edges, strict=True))
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint") -> DataFrame:
-    """(a, b) long links between distinct fingerprints that connect all pairs within the budget.
+def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint", seed: str | None = None) -> DataFrame:
+    """(seed, a, b) long links between distinct fingerprints that connect all pairs within the budget.
+
+    seed: a column that parts the fingerprints into sets, each joined with itself alone; without one seed is 0.
 
     Each fingerprint goes once to each of budget + 1 blocks' values. A task's rows come sorted by block value; a
     block value's trie is one unit, at most a 2^12-th part of evenly spread fingerprints. Returned are the links of
@@ -195,34 +207,43 @@ def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint") -
     edges = block_edges(budget)
     val = F.col("v")
     turned = F.array(*[F.struct(F.lit(i).alias("block"), (F.shiftleft(val, e).bitwiseOR(F.shiftrightunsigned(val, BITS - e)) if e else val).alias("turned"), F.shiftrightunsigned(F.shiftleft(val, e) if e else val, BITS - (edges[i + 1] - e)).alias("key")) for i, e in enumerate(edges[:-1])])
-    units = distinct.select(F.col(col).alias("v")).where("v is not null").select(F.explode(turned).alias("x")).select("x.*")
-    units = units.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "key").sortWithinPartitions("block", "key", "turned")
+    which = F.col(seed).cast("int") if seed else F.lit(0)
+    units = distinct.select(F.col(col).alias("v"), which.alias("seed")).where("v is not null").select("seed", F.explode(turned).alias("x")).select("seed", "x.*")
+    units = units.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed", "block", "key").sortWithinPartitions("seed", "block", "key", "turned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        shift = np.array(edges[:-1], U64)
+
+        def new_unit(seed, block, turned, key):
+            return (seed[1:] != seed[:-1]) | (block[1:] != block[:-1]) | (key[1:] != key[:-1])
 
-        def done(block, key, turned):
+        def done(seed, block, turned, key):
             v = turned.view(U64)
-            root = np.concatenate(([0], np.cumsum((block[1:] != block[:-1]) | (key[1:] != key[:-1]))))
+            root = np.concatenate(([0], np.cumsum(new_unit(seed, block, turned, key))))
             order = np.lexsort((v, root))  # signed order within a root differs from that of unsigned bits
-            v, root, block = v[order], root[order], block[order]
+            v, root, block, seed = v[order], root[order], block[order], seed[order]
             a, b = trie_join(v, root, budget)
             back = lambda at: np.where(block[at] == 0, v[at], v[at] >> shift[block[at]] | v[at] << (U64(BITS) - shift[block[at]]) % U64(BITS))
-            shift = np.array(edges[:-1], U64)
-            return pa.RecordBatch.from_arrays([pa.array(back(a).view(np.int64)), pa.array(back(b).view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(seed[a].astype(np.int32)), pa.array(back(a).view(np.int64)), pa.array(back(b).view(np.int64))], ["seed", "a", "b"])
 
+        held, most = [rest], PORTION
         for b in batches:
-            cols = [np.concatenate((r, np.asarray(b.column(i)).astype(np.int64))) for i, r in enumerate([rest[0], rest[1], rest[2]])]
-            block, turned, key = cols
-            change = np.flatnonzero((block[1:] != block[:-1]) | (key[1:] != key[:-1]))
+            held.append([np.asarray(b.column(x)).astype(np.int64) for x in ("seed", "block", "turned", "key")])
+            if sum(len(x[0]) for x in held) < most:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            change = np.flatnonzero(new_unit(*cols))
             cut = change[-1] + 1 if len(change) else 0  # the last unit may go on in the next batch
-            if cut >= 1:
-                yield done(block[:cut], key[:cut], turned[:cut])
-            rest = [block[cut:], turned[cut:], key[cut:]]
-        if len(rest[0]):
-            yield done(rest[0], rest[2], rest[1])
+            if cut:
+                yield done(*(c[:cut] for c in cols))
+            held = [[c[cut:] for c in cols]]
+            most = max(PORTION, 2 * len(held[0][0]))
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if len(cols[0]):
+            yield done(*cols)
 
-    return units.transform(in_arrow, run, "a long, b long").distinct()
+    return units.transform(in_arrow, run, "seed int, a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
@@ -240,3 +261,88 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.select("fingerprint", "root").join(least, "root").select(F.col("fingerprint").alias("f"), "component_id")
     return prints.join(named, F.col("fingerprint") == F.col("f")).select(F.col("id").alias(id_col), "fingerprint", F.col("component_id").alias("component"))
+
+
+# ------------------------------------------------------------------ groups of a given similarity
+
+#: Fingerprints of a text's set of words that are taken beside one another, each with hashes of its own.
+SEEDS = 6
+#: Bins of the MinHash sketch by which candidate pairs are verified; 4 bits each, so 512 bytes a text.
+SKETCH = 1024
+
+
+def word_set_fingerprints(texts: list[bytes], seeds: int = SEEDS) -> np.ndarray:
+    """(texts x seeds) SimHash values over each text's set of words: a changed word moves few of its votes."""
+    hashes, offsets = word_hashes(texts)
+    out = np.zeros((len(texts), seeds), U64)
+    turn = np.arange(1, seeds + 1, dtype=U64)[:, None] * U64(0x9E3779B97F4A7C15)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        own = np.unique(hashes[a:b])
+        votes = np.zeros((seeds, BITS), np.int64)
+        for at in range(0, len(own), 1 << 14):
+            h = mix(own[at : at + (1 << 14)] ^ turn)
+            votes += np.unpackbits(h.view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int32)
+        if len(own):
+            out[i] = np.packbits(2 * votes > len(own), axis=1, bitorder="little").view(U64)[:, 0]
+    return out
+
+
+def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seeds: int = SEEDS, budget: int = BUDGET, without: DataFrame | None = None) -> DataFrame:
+    """(id, component) of rows that a chain of pairs of at least that Jaccard similarity of word shingles links to a smaller id.
+
+    Candidates are texts of which any of several SimHash values over sets of words differ in at most `budget` bits,
+    found by the trie self-join; of all such pairs the joins hand on spanning forests of least distance. Candidates
+    are verified by the Jaccard similarity estimated from MinHash sketches of their shingles (standard error about
+    0.013). A group's smallest id goes on to the next round with all others, until a round finds nothing, since a
+    forest may have linked it to a member that isn't alike enough. Close pairs are all but sure to be
+    candidates, those at the least similarity nearly so. Texts are read once; rounds work on 560 bytes a text.
+    without: (id) of rows that are left out. Texts of fewer words than a shingle and rows without id are left to
+    near_duplicates(), which finds equal texts. Rows that repeat an id count as one. Empty tables give no rows.
+    """
+    from .minhash import likeness, signatures
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            texts = text_bytes(b.column("text"))
+            keep = pa.array([len(t.split(None, shingle)) >= shingle for t in texts])
+            low, _ = signatures(texts, SKETCH, 4, shingle)
+            sketch = pa.array([(x[0::2] << 4 | x[1::2]).tobytes() for x in low], pa.binary())
+            values = pa.array(list(word_set_fingerprints(texts, seeds).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), values, sketch], ["id", "values", "sketch"]).filter(keep)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sketch_x", "sketch_y"))
+                low = [np.stack([s >> 4, s & 15], axis=2).reshape(part.num_rows, -1) for s in (one, two)]
+                yes = np.ones(part.num_rows, bool)
+                yield part.select(["a", "b"]).filter(pa.array(likeness(*low, yes, yes) >= similarity))
+
+    every = written(rows.transform(in_arrow, prints, "id long, values array<long>, sketch binary"), "simhash-sets")
+    if without is not None:
+        every = every.join(without.select(F.col(id_col).alias("out")), F.col("id") == F.col("out"), "left_anti")
+    gone, left = df.sparkSession.createDataFrame([], "id long, component long"), every
+    while True:
+        values = left.select("id", F.posexplode("values").alias("seed", "fingerprint"))
+        classes = written(values.groupBy("seed", "fingerprint").agg(F.min("id").alias("least")), "simhash-set-classes")
+        a, b = (classes.select(F.col("seed").alias(f"s{x}"), F.col("fingerprint").alias(f"f{x}"), F.col("least").alias(f"id{x}")) for x in "ab")
+        apart = links(classes, budget, seed="seed")
+        apart = apart.join(a, (F.col("seed") == F.col("sa")) & (F.col("a") == F.col("fa"))).join(b, (F.col("seed") == F.col("sb")) & (F.col("b") == F.col("fb"))).select("ida", "idb")
+        alike = values.join(classes, ["seed", "fingerprint"]).select(F.col("least").alias("ida"), F.col("id").alias("idb"))
+        pairs = written(apart.union(alike).where("ida <> idb").select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "simhash-pairs")
+        # what had no candidate now has none among fewer texts either
+        asked = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
+        left = written(left.join(asked, F.col("id") == F.col("of"), "left_semi"), "simhash-asked")
+        x, y = (left.select(F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"sketch_{c}")) for c in "xy")
+        sketched = pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("a", "b", "sketch_x", "sketch_y")
+        found = connected_components(sketched.transform(in_arrow, verify, "a long, b long"), "simhash-similar")
+        if found.isEmpty():
+            return gone.withColumnRenamed("id", id_col)
+        # what was left of a group may itself have gone now
+        on = found.withColumnRenamed("component", "now")
+        moved = gone.join(on, F.col("component") == F.col("node"), "left").select("id", F.coalesce("now", "component").alias("component"))
+        gone = written(moved.union(found.select("node", "component")), "simhash-similar-groups")
+        left = left.join(found.select(F.col("node").alias("out")), F.col("id") == F.col("out"), "left_anti")

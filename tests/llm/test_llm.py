@@ -187,6 +187,24 @@ def test_trie_join(spark, budget):
     assert all(comp.get(i, i) == c for i, _, c in want)
 
 
+def test_similar_groups(spark, odd, nothing):
+    base = [[f"d{d}w{k}" for k in range(120)] for d in range(12)]
+    texts = [" ".join(x) for x in base]
+    for x in base:  # one word changed: similarity 0.92; every eighth: far below 0.8
+        texts += [" ".join([*x[:60], "other", *x[61:]]), " ".join("other" if k % 8 == 0 else w for k, w in enumerate(x))]
+    got = {r.doc_id: r.component for r in simhash.similar_groups(documents(spark, texts)).collect()}
+    assert got == {12 + 2 * d: d for d in range(12)}
+    assert simhash.similar_groups(nothing).count() == 0
+    assert {r.doc_id for r in simhash.similar_groups(odd).collect()} <= {r.doc_id for r in odd.collect()}
+
+
+def test_trie_links_are_of_least_distance():
+    centre = 0x0123456789ABCDEF
+    v = np.sort(np.array([centre] + [centre ^ (1 << b) ^ (1 << c) for b, c in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9))], np.uint64))
+    a, b = simhash.trie_join(v, np.zeros(len(v), int), 4)
+    assert len(a) == 5 and all(np.bitwise_count(v[a] ^ v[b]) == 2)
+
+
 # ---------------------------------------------------------------- 3 class-based LM
 
 
@@ -560,7 +578,14 @@ def test_pipeline(spark, sf_dir, small, library):
         if name == "language":
             assert set(now) == {i for i, t in before.items() if any(c.isalpha() for c in t)}
         elif name == "near_dedup":
-            assert set(now) == {i for i, _, c in brute_components([(i, brute_simhash(t)) for i, t in before.items()]) if i == c}
+            first = {i for i, _, c in brute_components([(i, brute_simhash(t)) for i, t in before.items()]) if i == c}
+            assert set(now) <= first
+            like = {(a, b): jaccard(before[a], before[b]) for a in first for b in first if a < b}
+            assert not [p for p, j in like.items() if j >= 0.84 and set(p) <= set(now)]
+            near = collections.defaultdict(float)
+            for (a, b), j in like.items():
+                near[a], near[b] = max(near[a], j), max(near[b], j)
+            assert all(near[i] > 0.74 for i in first - set(now))
         elif name == "passages":
             for i, _, gone, kept in brute_repeats(list(before.items())):
                 assert now[i] == (kept if gone else before[i])
