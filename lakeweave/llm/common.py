@@ -109,6 +109,10 @@ def crc_fold(spark_column, folds: int):
     return F.crc32(F.coalesce(spark_column.cast("string"), F.lit(""))) % folds
 
 
+#: Edges that a task of a step takes about.
+EDGES = 50_000
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) long edges -> (node, component): the smallest node that each can reach.
 
@@ -118,23 +122,25 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     cur = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     cur = written(cur, name)
-    while not cur.isEmpty():
+    rows = cur.count()
+    parts = -(-rows // EDGES)  # steps never have more than twice the edges
+    while rows:
         # large star: each larger neighbour of u points to the smallest of u and its neighbours
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: each smaller neighbour of u, and u, point to the smallest of them
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        down = written(down, name)
+        down = written(down.coalesce(parts), name)
         least = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = down.join(least, down.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt = small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        nxt = written(nxt, name)
+        nxt = written(nxt.coalesce(parts), name)
         drop_table(cur)
         drop_table(down)
         cur = nxt
         # done when it is a forest of stars: every node has one parent, and no parent has a parent
-        rows, nodes = cur.agg(F.count("*"), F.countDistinct("a")).first()
-        if rows == nodes and cur.join(cur.select(F.col("a").alias("p")), F.col("b") == F.col("p"), "left_semi").isEmpty():
+        count, nodes = cur.agg(F.count("*"), F.countDistinct("a")).first()
+        if count == nodes and cur.join(cur.select(F.col("a").alias("p")), F.col("b") == F.col("p"), "left_semi").isEmpty():
             break
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
