@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import drop_path, in_arrow, new_path, pieces, text_bytes, written
+from .common import drop_path, in_arrow, new_path, pieces, text_bytes
 from .hashing import grams, mix, sliding_min, within, word_hashes
 
 U64 = np.uint64
@@ -138,7 +139,7 @@ def repeated_windows(df: DataFrame, window: int, bitmap, id_col: str = "doc_id",
     """
     spark = df.sparkSession
     keyed = _keys(df, id_col, text_col)
-    schema = f"id {keyed.schema['id'].dataType.simpleString()}, th int, at int, w1 long, w2 long, n tinyint"
+    place_ddl = f"id {keyed.schema['id'].dataType.simpleString()}, th int, at int"
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -152,34 +153,34 @@ def repeated_windows(df: DataFrame, window: int, bitmap, id_col: str = "doc_id",
             place = (np.arange(len(at)) - first[text])[take]
             at, text = at[take], text[take]
             w1, w2 = grams(hashes, window)[at], grams(mix(hashes ^ U64(0x5BD1E995)), window, 0xA24BAED4963EE407)[at]
-            # n: places in this piece, this one's, or 0 where an earlier row stands for the same words
+            # places in this piece of the same words; the first of them stands for all
             order = np.lexsort((w2, w1))
             a, c = w1[order], w2[order]
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
             group = np.cumsum(new) - 1
-            count = np.bincount(group)
             n = np.empty(len(order), np.int8)
-            n[order] = np.minimum(count, 2)[group]
+            n[order] = np.minimum(np.bincount(group), 2)[group]
             stands = np.zeros(len(order), bool)
             stands[order[new]] = True
-            rows, know = np.flatnonzero(stands), np.flatnonzero((n == 2) & ~stands)
-            # known repeats that stand for no group need no verification: n is 3
-            take = np.concatenate((rows, know))
-            mark = np.concatenate((n[rows], np.full(len(know), 3, np.int8)))
-            empty = mark == 3
+            # the others are known to repeat: n is 3, and they go wherever a hash of their place sends them
+            w1 = np.where(stands, w1, mix(w1 ^ mix(place.astype(U64) + (text.astype(U64) << U64(32)))))
+            of = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(text[take])), b.column("th").take(pa.array(text[take])), pa.array(place[take].astype(np.int32)), pa.array(np.where(empty, 0, w1[take].view(np.int64))), pa.array(np.where(empty, 0, w2[take].view(np.int64))), pa.array(mark)],
+                [b.column("id").take(of), b.column("th").take(of), pa.array(place.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(np.where(stands, w2, U64(0)).view(np.int64)), pa.array(np.where(stands, n, np.int8(3)))],
                 ["id", "th", "at", "w1", "w2", "n"],
             )
 
-    found = written(keyed.transform(in_arrow, candidates, schema), "window-candidates")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.where("n < 3").repartition(parts, "w1").sortWithinPartitions("w1", "w2")
+    dealt = keyed.transform(in_arrow, candidates, f"{place_ddl}, w1 long, w2 long, n tinyint").repartition(parts, "w1").sortWithinPartitions("w1", "w2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of windows whose count is 2 or more; the last window's first row waits for what follows."""
+        """Rows of windows whose count is 2 or more, and known ones; the last window's first row waits for what follows."""
         wait, last, sure = None, None, False  # the row that waits, its words, whether they were seen again
         for b in batches:
+            known = pa.array(np.asarray(b.column("n")) == 3)
+            if known.true_count:
+                yield b.select(["id", "th", "at"]).filter(known)
+                b = b.filter(pc.invert(known))
             if not b.num_rows:
                 continue
             a, c, n = (np.asarray(b.column(x)) for x in ("w1", "w2", "n"))
@@ -203,8 +204,7 @@ def repeated_windows(df: DataFrame, window: int, bitmap, id_col: str = "doc_id",
             if keep.any():
                 yield b.select(["id", "th", "at"]).filter(pa.array(keep))
 
-    sure = dealt.transform(in_arrow, verify, f"id {keyed.schema['id'].dataType.simpleString()}, th int, at int")
-    return sure.union(found.where("n = 3").select("id", "th", "at")).groupBy("id", "th").agg(F.collect_list("at").alias("at"))
+    return dealt.transform(in_arrow, verify, place_ddl).groupBy("id", "th").agg(F.collect_list("at").alias("at"))
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -265,5 +265,5 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, batches: int = 2, id_col
 
     out = StructType([keyed.schema["id"], *StructType.fromDDL("n_words long, n_removed long, kept string"), keyed.schema["rest"]])
     left = keyed.transform(in_arrow, rest, keyed.schema).join(flags, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "rest", "at")
-    done = keyed.transform(in_arrow, whole, out).union(left.transform(in_arrow, cut, out)).withColumnRenamed("id", id_col)
+    done = keyed.transform(in_arrow, whole, out).union(left.mapInArrow(cut, out)).withColumnRenamed("id", id_col)
     return done if carry else done.drop("rest")
