@@ -26,6 +26,12 @@ EMPTY = np.iinfo(np.uint64).max
 
 def signatures(texts: list[bytes], bins: int = BINS, bits: int = BITS, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(texts x bins of low bits, whether each text has any shingle). A text of fewer words is one shingle."""
+    own, some = bin_values(texts, bins, shingle)
+    return (own & U64((1 << bits) - 1)).astype(np.uint8), some
+
+
+def bin_values(texts: list[bytes], bins: int = BINS, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """As signatures(), with whole 64-bit values."""
     hashes, offsets = word_hashes(texts)
     count = np.diff(offsets)
     at, text = within(offsets, shingle)
@@ -52,8 +58,8 @@ def _looks(bins: int, done: int, step: int) -> np.ndarray:
     return (mix(np.arange(bins, dtype=U64)[:, None] + attempt[None, :]) % U64(bins)).astype(np.int16)
 
 
-def densified(least: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Fills EMPTY bins of rows that have any other; then the low bits of all bins."""
+def densified(least: np.ndarray) -> np.ndarray:
+    """Fills EMPTY bins of rows that have any other; then the hashed values of all bins."""
     rows, bins = least.shape
     filled = least != EMPTY
     row, bin_ = np.nonzero(~filled & filled.any(axis=1, keepdims=True))
@@ -71,8 +77,7 @@ def densified(least: np.ndarray, bits: int = BITS) -> np.ndarray:
         row, bin_ = (np.concatenate(x) for x in zip(*wait, strict=True))
         done, step = done + step, min(4 * step, 256)
     # a value that fills several bins is hashed anew with each bin's number, so that its bits agree by chance in each apart
-    own = mix(out ^ np.arange(1, bins + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return (own & U64((1 << bits) - 1)).astype(np.uint8)
+    return mix(out ^ np.arange(1, bins + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def packed(low: np.ndarray, some: np.ndarray) -> list[str]:

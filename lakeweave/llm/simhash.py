@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, in_arrow, pieces, text_bytes, with_id, written
-from .hashing import mix, word_hashes
+from .hashing import grams, mix, word_hashes
 
 U64 = np.uint64
 BITS, SHINGLE, SEED, BUDGET = 64, 4, 42, 4
@@ -265,84 +265,151 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # ------------------------------------------------------------------ groups of a given similarity
 
-#: Fingerprints of a text's set of words that are taken beside one another, each with hashes of its own.
-SEEDS = 6
-#: Bins of the MinHash sketch by which candidate pairs are verified; 4 bits each, so 512 bytes a text.
+#: Bins of the MinHash sketch by which candidate pairs are compared first; 4 bits each, so 512 bytes a text.
 SKETCH = 1024
+#: Bands of bins of which a candidate pair shares one, and bins of a band. A pair of similarity J shares none with a
+#: chance of (1 - J ** DEPTH) ** BANDS, whatever the edits: 5 in a million at 0.8.
+BANDS, DEPTH = 40, 6
+#: What a sketch's estimate may be off by, five standard errors: nearer to the asked similarity, the sets are compared.
+UNSURE = 0.065
+#: Texts that a task sketches, rows of whole units that it holds, and pairs that it compares at a time.
+SKETCHED, UNITS, COMPARED = 1024, 1 << 14, 4096
+
+_ALIKE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)  # of two packed bins, by their xor
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """(texts x BANDS) keys from the whole bin values; bands have keys of their own."""
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=U64)[None, :], len(values), axis=0)
+    for k in range(DEPTH):
+        out = mix(out ^ values[:, k : BANDS * DEPTH : DEPTH])
+    return out
 
 
-def word_set_fingerprints(texts: list[bytes], seeds: int = SEEDS) -> np.ndarray:
-    """(texts x seeds) SimHash values over each text's set of words: a changed word moves few of its votes."""
-    hashes, offsets = word_hashes(texts)
-    out = np.zeros((len(texts), seeds), U64)
-    turn = np.arange(1, seeds + 1, dtype=U64)[:, None] * U64(0x9E3779B97F4A7C15)
-    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        own = np.unique(hashes[a:b])
-        votes = np.zeros((seeds, BITS), np.int64)
-        for at in range(0, len(own), 1 << 14):
-            h = mix(own[at : at + (1 << 14)] ^ turn)
-            votes += np.unpackbits(h.view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.int32)
-        if len(own):
-            out[i] = np.packbits(2 * votes > len(own), axis=1, bitorder="little").view(U64)[:, 0]
-    return out
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(grams(word_hashes([text])[0], shingle))
 
 
-def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seeds: int = SEEDS, budget: int = BUDGET, without: DataFrame | None = None) -> DataFrame:
+def compare(key: np.ndarray, ids: np.ndarray, group: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions a and b of links, and whether the estimate alone is enough. Rows come sorted by key.
+
+    All pairs of a key are compared, but for those that known groups or links found before connect already.
+    """
+    node, at = np.unique(ids, return_inverse=True)
+    forest, order = Forest(len(node)), np.argsort(group, kind="stable")
+    same = np.flatnonzero(group[order][1:] == group[order][:-1])
+    forest.join(at[order[same]], at[order[same + 1]])
+    place = np.zeros(len(node), np.int64)
+    place[at] = np.arange(len(ids))
+    forest.edges.clear()
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    unit = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(key))))
+    end = np.append(cut[1:], len(key))[unit]
+    rows, d, doubt = np.arange(len(key)), 1, [np.zeros((0, 2), np.int64)]
+    while True:
+        if d & (d - 1) == 0:  # now and then, units leave that are connected throughout
+            root = forest.root[at]
+            rows = rows[(np.minimum.reduceat(root, cut) != np.maximum.reduceat(root, cut))[unit[rows]]]
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            break
+        apart = rows[forest.root[at[rows]] != forest.root[at[rows + d]]]
+        for i in range(0, len(apart), COMPARED):
+            a, b = apart[i : i + COMPARED], apart[i : i + COMPARED] + d
+            equal = _ALIKE[sketch[a] ^ sketch[b]].sum(axis=1, dtype=np.int64) / SKETCH
+            got = (equal - 1 / 16) / (1 - 1 / 16)
+            sure, near = got >= similarity + UNSURE, np.abs(got - similarity) < UNSURE
+            forest.join(at[a[sure]], at[b[sure]])
+            doubt.append(np.unique(np.sort(np.stack((at[a[near]], at[b[near]]), axis=1), axis=1), axis=0))
+        d += 1
+    left = np.unique(np.concatenate(doubt), axis=0)
+    left = left[forest.root[left[:, 0]] != forest.root[left[:, 1]]]
+    a, b = (np.concatenate(x) for x in zip(*forest.edges, (left[:, 0], left[:, 1]), strict=True))
+    return place[a], place[b], np.arange(len(a)) < len(a) - len(left)
+
+
+def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, without: DataFrame | None = None) -> DataFrame:
     """(id, component) of rows that a chain of pairs of at least that Jaccard similarity of word shingles links to a smaller id.
 
-    Candidates are texts of which any of several SimHash values over sets of words differ in at most `budget` bits,
-    found by the trie self-join; of all such pairs the joins hand on spanning forests of least distance. Candidates
-    are verified by the Jaccard similarity estimated from MinHash sketches of their shingles (standard error about
-    0.013). A group's smallest id goes on to the next round with all others, until a round finds nothing, since a
-    forest may have linked it to a member that isn't alike enough. Close pairs are all but sure to be
-    candidates, those at the least similarity nearly so. Texts are read once; rounds work on 560 bytes a text.
+    Candidates are texts that share one of BANDS band keys of their MinHash sketches, which depends on the similarity
+    alone, not on where texts differ. All pairs of a key are compared by sketch, except those connected already, and
+    by their whole sets of shingle hashes where the sketch's estimate is within UNSURE of the similarity.
     without: (id) of rows that are left out. Texts of fewer words than a shingle and rows without id are left to
     near_duplicates(), which finds equal texts. Rows that repeat an id count as one. Empty tables give no rows.
     """
-    from .minhash import likeness, signatures
+    from .minhash import bin_values
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    if without is not None:
+        rows = rows.join(without.select(F.col(id_col).alias("out")), F.col("id") == F.col("out"), "left_anti")
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
         for b in pieces(batches, "text"):
-            texts = text_bytes(b.column("text"))
-            keep = pa.array([len(t.split(None, shingle)) >= shingle for t in texts])
-            low, _ = signatures(texts, SKETCH, 4, shingle)
-            sketch = pa.array([(x[0::2] << 4 | x[1::2]).tobytes() for x in low], pa.binary())
-            values = pa.array(list(word_set_fingerprints(texts, seeds).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), values, sketch], ["id", "values", "sketch"]).filter(keep)
+            for k in range(0, b.num_rows, SKETCHED):
+                part = b.slice(k, SKETCHED)
+                texts = text_bytes(part.column("text"))
+                keep = [len(t.split(None, shingle)) >= shingle for t in texts]
+                if any(keep):
+                    yield part.filter(pa.array(keep)), [t for t, x in zip(texts, keep, strict=True) if x]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in long_enough(batches):
+            values, _ = bin_values(texts, SKETCH, shingle)
+            low = (values & U64(15)).astype(np.uint8)
+            sketch = pa.array([x.tobytes() for x in low[:, 0::2] << 4 | low[:, 1::2]], pa.binary())
+            keys = pa.array(list(band_keys(values).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(values.sum(axis=1, dtype=U64).view(np.int64)), keys, sketch], ["id", "digest", "keys", "sketch"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.Table) -> pa.RecordBatch:
+            key, ids, group = (t[c].to_numpy() for c in ("key", "id", "group"))
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
+            a, b, sure = compare(key, ids, group, sketch, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], group[a], group[b], sure)], ["a", "b", "ga", "gb", "sure"])
+
+        held, most = None, UNITS
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            if len(held) < most:
+                continue
+            change = np.flatnonzero(np.diff(held["key"].to_numpy()))
+            cut = int(change[-1]) + 1 if len(change) else 0  # the last unit may go on in the next batch
+            if cut:
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+            most = max(UNITS, 2 * len(held))
+        if held is not None and len(held):
+            yield done(held)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in long_enough(batches):
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sketch_x", "sketch_y"))
-                low = [np.stack([s >> 4, s & 15], axis=2).reshape(part.num_rows, -1) for s in (one, two)]
-                yes = np.ones(part.num_rows, bool)
-                yield part.select(["a", "b"]).filter(pa.array(likeness(*low, yes, yes) >= similarity))
-
-    every = written(rows.transform(in_arrow, prints, "id long, values array<long>, sketch binary"), "simhash-sets")
-    if without is not None:
-        every = every.join(without.select(F.col(id_col).alias("out")), F.col("id") == F.col("out"), "left_anti")
-    gone, left = df.sparkSession.createDataFrame([], "id long, component long"), every
-    while True:
-        values = left.select("id", F.posexplode("values").alias("seed", "fingerprint"))
-        classes = written(values.groupBy("seed", "fingerprint").agg(F.min("id").alias("least")), "simhash-set-classes")
-        a, b = (classes.select(F.col("seed").alias(f"s{x}"), F.col("fingerprint").alias(f"f{x}"), F.col("least").alias(f"id{x}")) for x in "ab")
-        apart = links(classes, budget, seed="seed")
-        apart = apart.join(a, (F.col("seed") == F.col("sa")) & (F.col("a") == F.col("fa"))).join(b, (F.col("seed") == F.col("sb")) & (F.col("b") == F.col("fb"))).select("ida", "idb")
-        alike = values.join(classes, ["seed", "fingerprint"]).select(F.col("least").alias("ida"), F.col("id").alias("idb"))
-        pairs = written(apart.union(alike).where("ida <> idb").select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), "simhash-pairs")
-        # what had no candidate now has none among fewer texts either
-        asked = pairs.select(F.col("a").alias("of")).union(pairs.select("b")).distinct()
-        left = written(left.join(asked, F.col("id") == F.col("of"), "left_semi"), "simhash-asked")
-        x, y = (left.select(F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"sketch_{c}")) for c in "xy")
-        sketched = pairs.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("a", "b", "sketch_x", "sketch_y")
-        found = connected_components(sketched.transform(in_arrow, verify, "a long, b long"), "simhash-similar")
-        if found.isEmpty():
-            return gone.withColumnRenamed("id", id_col)
-        # what was left of a group may itself have gone now
-        on = found.withColumnRenamed("component", "now")
-        moved = gone.join(on, F.col("component") == F.col("node"), "left").select("id", F.coalesce("now", "component").alias("component"))
-        gone = written(moved.union(found.select("node", "component")), "simhash-similar-groups")
-        left = left.join(found.select(F.col("node").alias("out")), F.col("id") == F.col("out"), "left_anti")
+            yes = []
+            for x, y in zip(b.column("shingles_x"), b.column("shingles_y"), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                yes.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield b.select(["ga", "gb"]).filter(pa.array(yes, pa.bool_()))
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = written(rows.transform(in_arrow, prints, "id long, digest long, keys array<long>, sketch binary"), "similar-sketches")
+    named = every.select("id", "digest", "keys", F.col("id").alias("group"))
+    # of equal texts that are connected already, one is enough
+    each = named.groupBy("digest", "group").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    units = Window.partitionBy("key")
+    met = each.select("id", "group", F.explode("keys").alias("key")).withColumns({"lo": F.min("group").over(units), "hi": F.max("group").over(units)}).where("lo <> hi").select("key", "id", "group")
+    met = written(met, "similar-met").join(every.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
+    met = met.repartition(parts, "key").sortWithinPartitions("key", "id")
+    links = written(met.transform(in_arrow, alike, "a long, b long, ga long, gb long, sure boolean"), "similar-links")
+    doubt = written(links.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct(), "similar-doubt")
+    asked = doubt.select(F.col("a").alias("of")).union(doubt.select("b")).distinct()
+    shingles = written(rows.join(asked, F.col("id") == F.col("of"), "left_semi").transform(in_arrow, sets, "id long, shingles binary"), "similar-sets")
+    x, y = (shingles.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"shingles_{c}")) for c in "xy")
+    exact = doubt.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("ga", "gb", "shingles_x", "shingles_y").transform(in_arrow, verify, "ga long, gb long")
+    edges = links.where("sure").select("ga", "gb").union(exact).toDF("a", "b")
+    found = connected_components(edges, "similar-groups")
+    return found.select(F.col("node").alias(id_col), "component")

@@ -198,6 +198,29 @@ def test_similar_groups(spark, odd, nothing):
     assert {r.doc_id for r in simhash.similar_groups(odd).collect()} <= {r.doc_id for r in odd.collect()}
 
 
+def test_similar_groups_find_cut_and_extended_texts(spark):
+    texts, want = [], {}
+    for d in range(150):
+        n = (12, 40, 120, 400)[d % 4]
+        base = [f"d{d}w{k}" for k in range(n)]
+        m = n - 4  # shingles; five-word similarity of 0.8 or a little more
+        cut, more = m - math.ceil(0.8 * m), math.floor(m / 0.8) - m
+        texts += [" ".join(base), " ".join(base[: n - cut]), " ".join([*base, *(f"d{d}more{k}" for k in range(more))])]
+        assert min(jaccard(texts[-3], texts[-2]), jaccard(texts[-3], texts[-1])) >= 0.8
+        want |= {3 * d + 1: 3 * d, 3 * d + 2: 3 * d}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component for r in simhash.similar_groups(df).collect()} == want
+
+
+def test_similar_groups_are_exact_about_0_8(spark):
+    texts = {}
+    for d in range(60):
+        base, m = [f"d{d}w{k}" for k in range(204)], 200
+        texts[2 * d], texts[2 * d + 1] = " ".join(base), " ".join(base[: 4 + (160 if d % 2 else 159)])  # 0.8, 0.795
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {2 * d + 1: 2 * d for d in range(60) if d % 2}
+
+
 def test_trie_links_are_of_least_distance():
     centre = 0x0123456789ABCDEF
     v = np.sort(np.array([centre] + [centre ^ (1 << b) ^ (1 << c) for b, c in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9))], np.uint64))
