@@ -221,6 +221,14 @@ def test_similar_groups_are_exact_about_0_8(spark):
     assert got == {2 * d + 1: 2 * d for d in range(60) if d % 2}
 
 
+def test_similar_groups_go_on_past_a_failed_link():
+    # three texts of one key: the first is like neither of the others, which are alike
+    r = np.random.default_rng(1)
+    one, two = r.integers(0, 256, (2, simhash.SKETCH // 2), np.uint8)
+    a, b, sure = simhash.compare(np.zeros(3, int), np.arange(3), np.arange(3), np.stack((one, two, two)), 0.8)
+    assert [set(x) for x in zip(a.tolist(), b.tolist(), strict=True)] == [{1, 2}] and sure.all()
+
+
 def test_trie_links_are_of_least_distance():
     centre = 0x0123456789ABCDEF
     v = np.sort(np.array([centre] + [centre ^ (1 << b) ^ (1 << c) for b, c in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9))], np.uint64))
