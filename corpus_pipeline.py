@@ -27,13 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Documents without id all stay.
 
-    Fingerprints of four-word shingles at 4 bits find copies and the nearest of near copies, in groups of any size.
-    Of the documents left, SimHash values of word sets find those of a similarity of 0.8 or more on five words. What
-    goes grows with the input, so it meets the documents in a sort-merge join at any size.
+    Fingerprints of four-word shingles at 4 bits find copies and the nearest of near copies, in groups of any size;
+    MinHash bands find those of a similarity of 0.8 or more on five words. A group is what both kinds of links connect.
+    What goes grows with the input, so it meets the documents in a sort-merge join at any size.
     """
-    near = written(simhash.near_duplicates(docs).where("doc_id <> component").select("doc_id").distinct(), "near-dedup")
-    like = simhash.similar_groups(docs, SIMILARITY, without=near).select("doc_id")
-    gone = near.union(like).distinct().withColumnRenamed("doc_id", "gone")
+    near = written(simhash.near_duplicates(docs).select("doc_id", "component"), "near-dedup")
+    gone = simhash.similar_groups(docs, SIMILARITY, known=near).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
 
 

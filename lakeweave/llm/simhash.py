@@ -328,20 +328,19 @@ def compare(key: np.ndarray, ids: np.ndarray, group: np.ndarray, sketch: np.ndar
     return place[a], place[b], np.arange(len(a)) < len(a) - len(left)
 
 
-def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, without: DataFrame | None = None) -> DataFrame:
+def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, known: DataFrame | None = None) -> DataFrame:
     """(id, component) of rows that a chain of pairs of at least that Jaccard similarity of word shingles links to a smaller id.
 
     Candidates are texts that share one of BANDS band keys of their MinHash sketches, which depends on the similarity
     alone, not on where texts differ. All pairs of a key are compared by sketch, except those connected already, and
     by their whole sets of shingle hashes where the sketch's estimate is within UNSURE of the similarity.
-    without: (id) of rows that are left out. Texts of fewer words than a shingle and rows without id are left to
-    near_duplicates(), which finds equal texts. Rows that repeat an id count as one. Empty tables give no rows.
+    known: (id, component) of rows that are linked already, as near_duplicates() gives them; chains lead through both
+    kinds of links, and rows that only these link are returned too. Texts of fewer words than a shingle have no pairs
+    of their own. Rows without id are left out; rows that repeat an id count as one. Empty tables give no rows.
     """
     from .minhash import bin_values
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    if without is not None:
-        rows = rows.join(without.select(F.col(id_col).alias("out")), F.col("id") == F.col("out"), "left_anti")
 
     def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
         for b in pieces(batches, "text"):
@@ -397,7 +396,12 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = written(rows.transform(in_arrow, prints, "id long, digest long, keys array<long>, sketch binary"), "similar-sketches")
-    named = every.select("id", "digest", "keys", F.col("id").alias("group"))
+    if known is None:
+        groups = rows.select("id", F.array("id").alias("groups")).distinct()
+    else:
+        groups = known.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.sort_array(F.collect_set(F.col("component").cast("long"))).alias("groups"))
+    groups = written(groups.select("id", F.col("groups")[0].alias("group"), "groups"), "similar-known")
+    named = every.join(groups.select(F.col("id").alias("of"), "group"), F.col("id") == F.col("of")).select("id", "digest", "keys", "group")
     # of equal texts that are connected already, one is enough
     each = named.groupBy("digest", "group").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     units = Window.partitionBy("key")
@@ -410,6 +414,7 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     shingles = written(rows.join(asked, F.col("id") == F.col("of"), "left_semi").transform(in_arrow, sets, "id long, shingles binary"), "similar-sets")
     x, y = (shingles.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"shingles_{c}")) for c in "xy")
     exact = doubt.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("ga", "gb", "shingles_x", "shingles_y").transform(in_arrow, verify, "ga long, gb long")
-    edges = links.where("sure").select("ga", "gb").union(exact).toDF("a", "b")
-    found = connected_components(edges, "similar-groups")
-    return found.select(F.col("node").alias(id_col), "component")
+    repeated = groups.where(F.size("groups") > 1).select("group", F.explode("groups"))
+    edges = links.where("sure").select("ga", "gb").union(exact).union(repeated).toDF("a", "b")
+    found = connected_components(edges, "similar-groups").withColumnRenamed("component", "least")
+    return groups.join(found, F.col("group") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("least", "group").alias("component")).where(F.col(id_col) != F.col("component"))

@@ -229,6 +229,19 @@ def test_similar_groups_go_on_past_a_failed_link():
     assert [set(x) for x in zip(a.tolist(), b.tolist(), strict=True)] == [{1, 2}] and sure.all()
 
 
+def test_near_dedup_chains_through_removed_documents(spark, sf_dir):
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: words, 2: words[:340], 3: words[:290]}  # 1 ~ 2 and 2 ~ 3 are alike, 1 and 3 are not
+    texts = {i: " ".join(t) for i, t in texts.items()}
+    assert jaccard(texts[1], texts[2]) >= 0.8 and jaccard(texts[2], texts[3]) >= 0.8 > jaccard(texts[1], texts[3])
+    rows = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, sf_dir).collect()] == [1]
+    # 1 and 2 are linked by fingerprint; 3 is like 2 alone, which goes
+    known = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "doc_id long, component long")
+    other = rows.where("doc_id > 1").union(rows.where("doc_id = 1").withColumn("text", F.lit(" ".join(f"v{k}" for k in range(400)))))
+    assert {r.doc_id: r.component for r in simhash.similar_groups(other, known=known).collect()} == {2: 1, 3: 1}
+
+
 def test_trie_links_are_of_least_distance():
     centre = 0x0123456789ABCDEF
     v = np.sort(np.array([centre] + [centre ^ (1 << b) ^ (1 << c) for b, c in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9))], np.uint64))
