@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, in_arrow, pieces, text_bytes, with_id, written
+from .common import connected_components, drop_table, in_arrow, pieces, text_bytes, with_id, written
 from .hashing import grams, mix, word_hashes
 
 U64 = np.uint64
@@ -272,8 +272,8 @@ SKETCH = 1024
 BANDS, DEPTH = 40, 6
 #: What a sketch's estimate may be off by, five standard errors: nearer to the asked similarity, the sets are compared.
 UNSURE = 0.065
-#: Texts that a task sketches, rows of whole units that it holds, and pairs that it compares at a time.
-SKETCHED, UNITS, COMPARED = 1024, 1 << 14, 4096
+#: Texts that a task sketches, rows and bytes of whole units that it holds, and pairs that it compares at a time.
+SKETCHED, UNITS, UNIT_BYTES, COMPARED = 1024, 1 << 14, 16 << 20, 4096
 
 _ALIKE = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], np.uint8)  # of two packed bins, by their xor
 
@@ -290,22 +290,23 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(grams(word_hashes([text])[0], shingle))
 
 
-def compare(key: np.ndarray, ids: np.ndarray, group: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions a and b of links, and whether the estimate alone is enough. Rows come sorted by key.
+def compare(key: np.ndarray, ids: np.ndarray, group: np.ndarray, judge) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions a and b of a forest of links, and positions of rows that have a pair in doubt. Rows come sorted by key.
 
-    All pairs of a key are compared, but for those that known groups or links found before connect already.
+    All pairs of a key are judged, but for those that known groups or links found before connect already.
+    judge(a, b): which pairs of positions are alike, and which are in doubt.
     """
     node, at = np.unique(ids, return_inverse=True)
     forest, order = Forest(len(node)), np.argsort(group, kind="stable")
     same = np.flatnonzero(group[order][1:] == group[order][:-1])
     forest.join(at[order[same]], at[order[same + 1]])
+    forest.edges.clear()
     place = np.zeros(len(node), np.int64)
     place[at] = np.arange(len(ids))
-    forest.edges.clear()
     cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     unit = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(key))))
     end = np.append(cut[1:], len(key))[unit]
-    rows, d, doubt = np.arange(len(key)), 1, [np.zeros((0, 2), np.int64)]
+    rows, d, doubt = np.arange(len(key)), 1, np.zeros(len(key), bool)
     while True:
         if d & (d - 1) == 0:  # now and then, units leave that are connected throughout
             root = forest.root[at]
@@ -315,17 +316,33 @@ def compare(key: np.ndarray, ids: np.ndarray, group: np.ndarray, sketch: np.ndar
             break
         apart = rows[forest.root[at[rows]] != forest.root[at[rows + d]]]
         for i in range(0, len(apart), COMPARED):
-            a, b = apart[i : i + COMPARED], apart[i : i + COMPARED] + d
-            equal = _ALIKE[sketch[a] ^ sketch[b]].sum(axis=1, dtype=np.int64) / SKETCH
-            got = (equal - 1 / 16) / (1 - 1 / 16)
-            sure, near = got >= similarity + UNSURE, np.abs(got - similarity) < UNSURE
-            forest.join(at[a[sure]], at[b[sure]])
-            doubt.append(np.unique(np.sort(np.stack((at[a[near]], at[b[near]]), axis=1), axis=1), axis=0))
+            a = apart[i : i + COMPARED]
+            yes, near = judge(a, a + d)
+            forest.join(at[a[yes]], at[a[yes] + d])
+            doubt[a[near]] = doubt[a[near] + d] = True
         d += 1
-    left = np.unique(np.concatenate(doubt), axis=0)
-    left = left[forest.root[left[:, 0]] != forest.root[left[:, 1]]]
-    a, b = (np.concatenate(x) for x in zip(*forest.edges, (left[:, 0], left[:, 1]), strict=True))
-    return place[a], place[b], np.arange(len(a)) < len(a) - len(left)
+    a, b = (np.concatenate(x) for x in zip(*forest.edges, (np.zeros(0, np.int64),) * 2, strict=True))
+    return place[a], place[b], np.flatnonzero(doubt)
+
+
+def by_sketch(sketch: np.ndarray, similarity: float):
+    def judge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        equal = _ALIKE[sketch[a] ^ sketch[b]].sum(axis=1, dtype=np.int64) / SKETCH
+        got = (equal - 1 / 16) / (1 - 1 / 16)
+        return got >= similarity + UNSURE, np.abs(got - similarity) < UNSURE
+
+    return judge
+
+
+def by_set(sets: list[np.ndarray], similarity: float):
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+    def judge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([alike(sets[x], sets[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool), np.zeros(len(a), bool)
+
+    return judge
 
 
 def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, known: DataFrame | None = None) -> DataFrame:
@@ -359,41 +376,44 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
             keys = pa.array(list(band_keys(values).view(np.int64)), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(values.sum(axis=1, dtype=U64).view(np.int64)), keys, sketch], ["id", "digest", "keys", "sketch"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_units(column: str, judge):
+        """Rows (a, b) of links between groups; then rows (key, id, group) in doubt."""
+
         def done(t: pa.Table) -> pa.RecordBatch:
             key, ids, group = (t[c].to_numpy() for c in ("key", "id", "group"))
-            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1)
-            a, b, sure = compare(key, ids, group, sketch, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], group[a], group[b], sure)], ["a", "b", "ga", "gb", "sure"])
-
-        held, most = None, UNITS
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if len(held) < most:
-                continue
-            change = np.flatnonzero(np.diff(held["key"].to_numpy()))
-            cut = int(change[-1]) + 1 if len(change) else 0  # the last unit may go on in the next batch
-            if cut:
-                yield done(held.slice(0, cut))
-                held = held.slice(cut)
-            most = max(UNITS, 2 * len(held))
-        if held is not None and len(held):
-            yield done(held)
+            a, b, doubt = compare(key, ids, group, judge(t[column].to_pylist()))
+            n, m = [None] * len(a), [None] * len(doubt)
+            cols = [(group[a].tolist() + m), (group[b].tolist() + m), (n + key[doubt].tolist()), (n + ids[doubt].tolist()), (n + group[doubt].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["a", "b", "key", "id", "group"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, most = None, UNITS
+            for b in batches:
+                t = pa.Table.from_batches([b])
+                held = t if held is None else pa.concat_tables([held, t])
+                if len(held) < most and held.nbytes < UNIT_BYTES:
+                    continue
+                change = np.flatnonzero(np.diff(held["key"].to_numpy()))
+                cut = int(change[-1]) + 1 if len(change) else 0  # the last unit may go on in the next batch
+                if cut:
+                    yield done(held.slice(0, cut))
+                    held = held.slice(cut)
+                most = max(UNITS, 2 * len(held))
+            if held is not None and len(held):
+                yield done(held)
+
+        return run
+
+    def sketched(column: list[bytes]):
+        return by_sketch(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), similarity)
+
+    def listed(column: list[bytes]):
+        return by_set([np.frombuffer(x, U64) for x in column], similarity)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in long_enough(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yes = []
-            for x, y in zip(b.column("shingles_x"), b.column("shingles_y"), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                yes.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-            yield b.select(["ga", "gb"]).filter(pa.array(yes, pa.bool_()))
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = written(rows.transform(in_arrow, prints, "id long, digest long, keys array<long>, sketch binary"), "similar-sketches")
     if known is None:
@@ -406,15 +426,18 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     each = named.groupBy("digest", "group").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     units = Window.partitionBy("key")
     met = each.select("id", "group", F.explode("keys").alias("key")).withColumns({"lo": F.min("group").over(units), "hi": F.max("group").over(units)}).where("lo <> hi").select("key", "id", "group")
-    met = written(met, "similar-met").join(every.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
-    met = met.repartition(parts, "key").sortWithinPartitions("key", "id")
-    links = written(met.transform(in_arrow, alike, "a long, b long, ga long, gb long, sure boolean"), "similar-links")
-    doubt = written(links.where("not sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct(), "similar-doubt")
-    asked = doubt.select(F.col("a").alias("of")).union(doubt.select("b")).distinct()
-    shingles = written(rows.join(asked, F.col("id") == F.col("of"), "left_semi").transform(in_arrow, sets, "id long, shingles binary"), "similar-sets")
-    x, y = (shingles.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"shingles_{c}")) for c in "xy")
-    exact = doubt.join(x, F.col("a") == F.col("x_id")).join(y, F.col("b") == F.col("y_id")).select("ga", "gb", "shingles_x", "shingles_y").transform(in_arrow, verify, "ga long, gb long")
+    pairs = written(met, "similar-met")
+    met = pairs.join(every.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
+    kind = "a long, b long, key long, id long, group long"
+    links = written(met.repartition(parts, "key").sortWithinPartitions("key", "id").transform(in_arrow, in_units("sketch", sketched), kind), "similar-links")
+    doubt = links.where("key is not null").select("key", "id", "group")
+    asked = doubt.select(F.col("id").alias("of")).distinct()
+    shingles = rows.join(asked, F.col("id") == F.col("of"), "left_semi").transform(in_arrow, sets, "id long, shingles binary")
+    doubt = doubt.join(shingles.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of").repartition(parts, "key").sortWithinPartitions("key", "id")
+    exact = doubt.transform(in_arrow, in_units("shingles", listed), kind).select("a", "b")
     repeated = groups.where(F.size("groups") > 1).select("group", F.explode("groups"))
-    edges = links.where("sure").select("ga", "gb").union(exact).union(repeated).toDF("a", "b")
+    edges = links.where("key is null").select("a", "b").union(exact).union(repeated).toDF("a", "b")
     found = connected_components(edges, "similar-groups").withColumnRenamed("component", "least")
+    for t in (every, pairs, links):  # what found needs is written
+        drop_table(t)
     return groups.join(found, F.col("group") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("least", "group").alias("component")).where(F.col(id_col) != F.col("component"))
