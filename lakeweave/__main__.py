@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from lakeweave.operators import governance, merge, quality
 from lakeweave.plans.warehouse import DIMENSION, Warehouse
 from lakeweave.session import get_spark
-from lakeweave.sources import readers
+from lakeweave.sources import generated
 
 
 def skew_bench(spark, rows: int, salts: int) -> None:
     """Seconds of the direct and the salted sum over the same skewed table, each after a warm-up, best of three."""
-    s = readers.skewed(spark, rows).withColumn("amt", F.col("amt").cast("decimal(18,2)")).cache()
+    s = generated.skewed(spark, rows).withColumn("amt", F.col("amt").cast("decimal(18,2)")).cache()
     s.count()
     plans = {"direct": merge.keyed_sum(s, "key", F.col("amt"), "s"), "salted": merge.salted_sum(s, "key", F.col("amt"), "s", salts)}
     took = {}

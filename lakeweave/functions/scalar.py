@@ -76,6 +76,11 @@ def surrogate_key(*parts: str | Column) -> Column:
     return F.xxhash64(*[col(p) for p in parts])
 
 
+def portable_key(*parts: str | Column) -> Column:
+    """A surrogate key that other engines can make as well: SHA-256 over the parts joined by '|'."""
+    return F.sha2(F.concat_ws("|", *[col(p).cast("string") for p in parts]), 256)
+
+
 def relative_gap(base: str | Column, other: str | Column) -> Column:
     """|other - base| / |base|; with base 0 or NULL it is 0 if other is so too, else 1."""
     b, o = F.coalesce(col(base).cast("double"), F.lit(0.0)), F.coalesce(col(other).cast("double"), F.lit(0.0))

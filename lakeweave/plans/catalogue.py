@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.functions.scalar import bucketize, count_where, day, half_up, mean, money, plain_ratio, ratio, stable_hash, total, total_where
+from lakeweave.functions.scalar import bucketize, count_where, day, half_up, mean, money, plain_ratio, portable_key, ratio, stable_hash, total, total_where
 from lakeweave.operators import dimensions, governance, maintenance, merge, metrics, quality
 from lakeweave.plans import serving
-from lakeweave.sources import readers, sinks
+from lakeweave.sources import generated, readers, sinks
 from lakeweave.sources.fs import Files, stored, workspace
 from lakeweave.sources.readers import table
 from lakeweave.sources.versioned import SnapshotStore
@@ -359,9 +359,13 @@ def dq_pk_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.key_uniqueness(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("select 'null_rate' rule, greatest(count(*) filter (c_mktsegment is null), count(*) filter (c_custkey is null))::double / count(*) as value, 0.05::double threshold, greatest(count(*) filter (c_mktsegment is null), count(*) filter (c_custkey is null))::double / count(*) <= 0.05 passed from (" + _INCOMING_SQL + ")")
+_HOLES_SQL = "select c_custkey, case when c_custkey % 3 <> 0 then c_mktsegment end c_mktsegment from customer"
+
+
+@query(f"select 'null_rate' rule, greatest(count(*) filter (c_mktsegment is null), count(*) filter (c_custkey is null))::double / count(*) as value, 0.05::double threshold, greatest(count(*) filter (c_mktsegment is null), count(*) filter (c_custkey is null))::double / count(*) <= 0.05 passed from ({_HOLES_SQL})")
 def dq_null_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.null_rate(_incoming(spark, sf_dir), ["c_custkey", "c_mktsegment"])
+    holes = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return quality.null_rate(holes, ["c_custkey", "c_mktsegment"])
 
 
 @query("with d as (select 'orders' tbl, o_orderdate::date dt, count(*) n from orders group by 2), b as (select *, lag(n) over (order by dt) p from d) select tbl, dt, n, case when p > 0 then abs(n - p)::double / p end as value, coalesce(case when p > 0 then abs(n - p)::double / p end <= 0.5, true) passed from b")
@@ -412,14 +416,13 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
-@query("select o_orderkey, 'dt=' || (o_orderdate::date)::varchar source_file from orders where o_orderdate::date in (date '1996-01-02', date '1996-01-03')")
+@query("select o_orderkey, 'dt=' || (date_trunc('month', o_orderdate)::date)::varchar source_file from orders")
 def csv_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two days' exports, each read with its folder's name as the audit column."""
-    root, out = workspace(spark, "csv-days"), []
-    for d in ("1996-01-02", "1996-01-03"):
-        serving.daily(_applications(spark, sf_dir), "apply_date", d).select("o_orderkey").write.option("header", True).csv(f"{root}/dt={d}")
-        out.append(readers.with_audit(readers.csv(spark, f"{root}/dt={d}", "o_orderkey long"), f"dt={d}").drop("etl_time"))
-    return merge.union_all(*out)
+    """Every month's export, each row with its folder's name as the audit column."""
+    root = workspace(spark, "csv-months")
+    _applications(spark, sf_dir).select("o_orderkey", F.trunc("apply_date", "month").alias("dt")).repartition("dt").write.partitionBy("dt").option("header", True).csv(root)
+    rows = readers.csv(spark, f"{root}/dt=*", "o_orderkey long")
+    return readers.with_audit(rows, F.regexp_extract(F.col("_metadata.file_path"), "dt=[^/]+", 0)).drop("etl_time")
 
 
 _EVENT_SCHEMA = "event_id long, user_id long, event_type string, value double"
@@ -446,14 +449,23 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, value from events")
 def landing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landing batches of JSON lines, consumed by a file stream, as a table."""
+    """Landing batches of JSON lines, each consumed by a file stream as it arrives, as a table."""
     path = workspace(spark, "landing")
-    sinks.landing_batches(table(spark, sf_dir, "events").select("event_id", "value"), path, "2024-01-01", 3, "event_id")
-    stream = readers.json_stream(spark, f"{path}/batch_*", "event_id long, value double")
-    sinks.file_sink(stream, f"{path}-out", f"{path}-checkpoint").awaitTermination()
+    for _ in sinks.landing_batches(table(spark, sf_dir, "events").select("event_id", "value"), path, "2024-01-01", 3, "event_id"):
+        stream = readers.json_stream(spark, path, "event_id long, value double")
+        sinks.file_sink(stream, f"{path}-out", f"{path}-checkpoint").awaitTermination()
     return spark.read.schema("event_id long, value double").parquet(f"{path}-out")
 
 
+@query("with n as (select event_id, row_number() over (order by event_id) - 1 k, count(*) over () n from events) select 'batch_2024-01-01_' || lpad((k // ceil(n / 3)::bigint + 1)::varchar, 3, '0') || '.json' file, count(*) as rows, min(event_id) first, max(event_id) last from n group by 1")
+def landing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies in each numbered file."""
+    path = workspace(spark, "landing-files")
+    list(sinks.landing_batches(table(spark, sf_dir, "events").select("event_id", "value"), path, "2024-01-01", 3, "event_id"))
+    rows = spark.read.schema("event_id long, value double").json(path).select("event_id", F.col("_metadata.file_name").alias("file"))
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 def _by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _applications(spark, sf_dir).select("o_orderkey", "o_totalprice", F.trunc("apply_date", "year").alias("dt"))
 
@@ -493,43 +505,89 @@ def stable_hash_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", stable_hash(F.lit("app"), "c_custkey").alias("h"))
 
 
-_H = "('0x' || substr(sha256(cid), 1, 12))::bigint"
-_CUSTOMERS_SQL = f"""with i as (select 'C' || lpad(i::varchar, 6, '0') cid from range(1, 2001) t(i)), h as (select cid, {_H} h, case when ('0x' || substr(sha256(cid || '|2024-01-02'), 1, 12))::bigint % 100 = 0 then 1 else 0 end drift from i)
-select cid customer_id, case when h % 2 = 1 then 'M' else 'F' end gender, (22 + h % 40)::int age, {readers.EDUCATIONS!r}[(h % 5 + 1)::int] education, {readers.OCCUPATIONS!r}[((h // 7 + drift) % 7 + 1)::int] occupation, (date '2020-01-01' + (h % 1500)::int)::date::varchar register_date from h"""
+def _draw_sql(label: str, key: str, below: int) -> str:
+    """What generated.draw() says, in the other engine's words."""
+    return f"(('0x' || substr(sha256('{label}/' || {key}), 1, 12))::bigint % {below})"
+
+
+def _choice_sql(name: str, key: str = "application_id") -> str:
+    return generated.choice(name, name, key, _draw_sql)
+
+
+def _selected(made: dict[str, str]) -> str:
+    return ", ".join(f"{e} {c}" for c, e in made.items())
+
+
+def _by(label: str, below: int) -> str:
+    return _draw_sql(label, "application_id", below)
+
+
+_TENURE_SQL = f"((date '2024-01-02' - date '{generated.ORIGIN}' + {_draw_sql('phase', 'customer_id', generated.TENURE)}) // {generated.TENURE})"
+_CUSTOMERS_SQL = f"with p as (select i, 'P' || lpad(i::varchar, 9, '0') customer_id from range(1, 2001) t(i)) select customer_id, 'person ' || i customer_name, {_selected(generated.profile('customer_id', _TENURE_SQL, _draw_sql))}, (date '{generated.ORIGIN}' + {_draw_sql('since', 'customer_id', 3000)}::int)::date::varchar register_date from p"
+_APPLICATIONS_SQL = f"""with k as (select 'L20240102-' || lpad(i::varchar, 8, '0') application_id from range(1, 5001) t(i)), d as (select application_id, 500 + {_by('score a', 120)} + {_by('score b', 120)} + {_by('score c', 120)} s, 21000 + {_by('income a', 900)} * {_by('income b', 320)} income from k)
+select application_id, 'P' || lpad((1 + {_by('who', 2000)})::varchar, 9, '0') customer_id, timestamp '2024-01-02 06:00:00' + to_seconds({_by('second', 61200)}) apply_time, greatest(1000, income * (5 + {_by('part', 55)}) // 10000 * 100)::double loan_amnt, ({_choice_sql('term')})::int term,
+(300 + 4 * (860 - s) + {_by('margin', 150)}) / 10000 interest_rate, {_choice_sql('purpose')} purpose, {generated.grade('s')} grade, income::double annual_income, (300 + {_by('dti', 5200)}) / 10000 dti, s::int fico_score, {_choice_sql('verification_status')} verification_status, {_choice_sql('home_ownership')} home_ownership,
+({_by('yes', 1000)} < 2 * (s - 440))::int is_approved, ({_by('yes', 1000)} < 2 * (s - 440) and 2 * {_by('lost', 1000)} < 900 - s)::int is_default from d"""
 
 
 @query(_CUSTOMERS_SQL)
 def generated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.customers(spark, 2000, "2024-01-02").select("customer_id", "gender", "age", "education", "occupation", "register_date")
+    return generated.customers(spark, 2000, "2024-01-02")
+
+
+def _as_instants(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("timestamp_ntz"))
 
 
-@query("select 5000::bigint n, 5000::bigint ids, true in_range, true shares")
+@query(_APPLICATIONS_SQL)
 def generated_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = readers.applications(spark, 5000, 2000, "2024-01-02")
-    p = readers.repayments(a, "2024-01-02").agg(F.count("*").alias("flows"), F.avg((F.col("overdue_days") > 0).cast("int")).alias("late"))
-    fits = (F.col("loan_amnt").between(5000, 299999)) & F.col("fico_score").between(620, 859) & F.col("dti").between(0.05, 0.6) & (F.to_date("apply_time") == F.lit("2024-01-02").cast("date"))
-    one = a.agg(F.count("*").alias("n"), F.countDistinct("application_id").alias("ids"), F.bool_and(fits).alias("in_range"), F.sum("is_approved").alias("approved")).join(p, F.col("approved") == F.col("flows"))
-    return one.select("n", "ids", "in_range", (F.abs(F.col("approved") / F.col("n") - 0.72) < 0.03).alias("shares") & (F.abs(F.col("late") - 0.12) < 0.03)).toDF("n", "ids", "in_range", "shares")
+    return _as_instants(generated.applications(spark, 5000, 2000, "2024-01-02"), "apply_time")
+
+
+@query(f"with a as ({_APPLICATIONS_SQL}) select 'F' || substr(application_id, 2) flow_id, application_id, customer_id, case when {_by('late', 1000)} < 40 + (900 - fico_score) // 2 then 1 + {_by('late a', 10)} * {_by('late b', 12)} else 0 end::int overdue_days, timestamp '2024-01-02 00:00:00' + to_seconds({_by('paid', 86400)}) repay_time from a where is_approved = 1")
+def generated_repayments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = generated.repayments(generated.applications(spark, 5000, 2000, "2024-01-02"), "2024-01-02")
+    return _as_instants(flows, "repay_time").select("flow_id", "application_id", "customer_id", "overdue_days", "repay_time")
+
 
+def _skew_sql(label: str, below: int) -> str:
+    return _draw_sql(label, "i::varchar", below)
 
-@query("select 300000::bigint n, true mostly_hot, 100::bigint hot_keys")
+
+@query(f"select case when {_skew_sql('heat', 1_000_000)} < 950000 then 'hot_' || {_skew_sql('which', 100)} else 'cold_' || {_skew_sql('which', 100_000)} end as key, {_skew_sql('cents', 500_000)} / 100 amt from range(0, 300000) t(i)")
 def skewed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hot = F.col("key").startswith("hot")
-    s = readers.skewed(spark, 300_000)
-    return s.agg(F.count("*").alias("n"), (F.abs(F.avg(hot.cast("int")) - 0.95) < 0.01).alias("mostly_hot"), F.countDistinct(F.when(hot, F.col("key"))).alias("hot_keys"))
+    return generated.skewed(spark, 300_000)
 
 
-_RAW_SQL = "select c_custkey id, 'C' || lpad(c_custkey::varchar, 8, '0') customer_id, (25 + c_custkey % 35)::int age, case when c_acctbal * 100 > 100000 then 'bachelor' else 'college' end education, coalesce(case when c_custkey % 4 = 0 then null else substr(c_name, 1, 20) end, 'other') occupation, 'region' || c_nationkey city from customer order by ('0x' || substr(sha256(c_custkey::varchar), 1, 12))::bigint, c_custkey limit 100"
+_RAW_SQL = f"select c_custkey, c_custkey::varchar loan, c_acctbal, c_name, c_nationkey from customer order by {_draw_sql('loan', 'c_custkey::varchar', 1 << 48)}, loan limit 100"
+_DRAWN_SQL = _selected({c: e for c, e in generated.profile("loan", "0", _draw_sql).items() if c not in ("occupation", "city")})
 
 
-@query(f"select customer_id, age, education, occupation, city from ({_RAW_SQL})")
-def external_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _loans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer")
     raw = c.select(
-        F.col("c_custkey").alias("id"), (F.col("c_acctbal") * 100).alias("annualIncome"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("employmentTitle"), F.col("c_nationkey").alias("regionCode"), F.lit(10000).alias("loanAmnt"), F.lit(36).alias("term"),
-        F.lit(0.1).alias("interestRate"), F.lit("car").alias("purpose"), F.lit("B").alias("grade"), F.lit(None).cast("double").alias("dti"), F.lit(700).alias("ficoRangeLow"), F.lit("0").alias("verificationStatus"), F.lit("1").alias("homeOwnership"), F.lit(0).alias("isDefault"),
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("annualIncome"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("employmentTitle"), F.col("c_nationkey").alias("regionCode"), (F.col("c_custkey") * 10).alias("loanAmnt"), F.lit(36).alias("term"),
+        F.lit(0.1).alias("interestRate"), F.lit("car").alias("purpose"), F.lit("B").alias("grade"), F.lit(None).cast("double").alias("dti"), F.lit(700).alias("ficoRangeLow"), F.lit("0").alias("verificationStatus"), F.lit("1").alias("homeOwnership"), (F.col("c_custkey") % 2).alias("isDefault"),
     )
-    return readers.external_loans(raw, 100, "2024-01-02")[0].select("customer_id", "age", "education", "occupation", "city")
+    return generated.external_loans(raw, 100, "2024-01-02")
+
+
+@query(f"select 'X' || lpad(loan, 10, '0') customer_id, 'borrower ' || loan customer_name, {_DRAWN_SQL}, coalesce(case when c_custkey % 4 <> 0 then substr(c_name, 1, 20) end, 'unknown') occupation, 'region ' || c_nationkey city, '2024-01-02' register_date from ({_RAW_SQL})")
+def external_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loans(spark, sf_dir)[0]
+
+
+_LOANS_SQL = f"select 'X20240102-' || lpad(loan, 10, '0') application_id, 'X' || lpad(loan, 10, '0') customer_id, timestamp '2024-01-02 12:00:00' apply_time, (c_custkey * 10)::double loan_amnt, 36 term, 0.1::double interest_rate, 'car' purpose, 'B' grade, case when c_custkey % 5 <> 0 then c_acctbal else 0 end::double annual_income, 0::double dti, 700 fico_score, '0' verification_status, '1' home_ownership, 1 is_approved, (c_custkey % 2)::int is_default from ({_RAW_SQL})"
+
+
+@query(_LOANS_SQL)
+def external_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_instants(_loans(spark, sf_dir)[1], "apply_time")
+
+
+@query(f"with a as ({_LOANS_SQL}) select 'F' || substr(application_id, 2) flow_id, customer_id, case when {_by('late', 1000)} < 40 + (900 - fico_score) // 2 then 1 + {_by('late a', 10)} * {_by('late b', 12)} else 0 end::int overdue_days from a")
+def external_repayments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loans(spark, sf_dir)[2].select("flow_id", "customer_id", "overdue_days")
 
 
 @query("select c_custkey from customer order by ('0x' || substr(sha256(c_custkey::varchar), 1, 12))::bigint, c_custkey limit 50")
@@ -628,3 +686,60 @@ def stored_handoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages with a written table between them."""
     c = stored(table(spark, sf_dir, "customer").select("c_nationkey"), "stage")
     return c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("cnt"))
+
+
+# ------------------------------------------------------------------ small operators, each by a query of its own
+
+
+@query("select c_custkey, sha256(c_custkey || '|' || c_mktsegment) key from customer")
+def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portable kind of surrogate key, over all customers."""
+    return table(spark, sf_dir, "customer").select("c_custkey", portable_key("c_custkey", "c_mktsegment").alias("key"))
+
+
+@query("select strftime(time_bucket(interval 1 minute, ts), '%Y-%m-%d %H:%M:%S') window_start, count(*) n from events group by 1")
+def window_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows as text, as JSON sinks have them."""
+    w = windows.formatted(windows.tumbling(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 minute", {"n": F.count("*")}))
+    return w.select("window_start", "n")
+
+
+@query("select event_id, event_type from events where event_type like 'p%'")
+def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "prefix")
+    table(spark, sf_dir, "events").select("event_id", "event_type").write.json(path)
+    return readers.json_lines(spark, path, "event_id long, event_type string", prefix=("event_type", "p"))
+
+
+@query("select count(*) > 0 and (select count(*) from (select distinct o_orderkey from orders)) = count(*) and count(*) filter (o_orderkey is null) <= 0.05 * count(*) passed from orders")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed = quality.gate(quality.suite(table(spark, sf_dir, "orders"), ["o_orderkey"]))
+    return spark.createDataFrame([(passed,)], "passed boolean")
+
+
+@query("select event_id, name from events, (values ('a'), ('b')) t(name)")
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream into two JSON sinks, each with its own checkpoint."""
+    path = workspace(spark, "fan")
+    table(spark, sf_dir, "events").select("event_id").write.parquet(f"{path}/in")
+    stream = readers.parquet_stream(spark, f"{path}/in", readers.footer_schema(spark, f"{path}/in"))
+    for q in sinks.fan_out(stream, [("a", f"{path}/a"), ("b", f"{path}/b")], f"{path}/checkpoints"):
+        q.awaitTermination()
+    return merge.union_all(*[spark.read.schema("event_id long").json(f"{path}/{x}").withColumn("name", F.lit(x)) for x in "ab"])
+
+
+@query("select n_name, n_regionkey from nation")
+def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{workspace(spark, 'report')}.json"
+    sinks.report(table(spark, sf_dir, "nation").select("n_name", "n_regionkey"), path, kind="nations")
+    rows = spark.read.option("multiLine", True).schema("kind string, rows array<struct<n_name: string, n_regionkey: int>>").json(path)
+    return rows.select(F.explode("rows").alias("r")).select("r.*")
+
+
+@query("select o_custkey custkey, arg_max(o_orderkey, o_orderkey) o_orderkey, (max(year(o_orderdate)) || '-01-01') dt from orders where o_custkey = (select min(o_custkey) from orders) and year(o_orderdate) = (select max(year(o_orderdate)) from orders where o_custkey = (select min(o_custkey) from orders)) group by 1")
+def newest_partition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key's last row, from the newest partition that has one; older ones are not read."""
+    path = workspace(spark, "newest")
+    o = _applications(spark, sf_dir).select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.trunc("apply_date", "year").alias("dt"))
+    sinks.overwrite_partitions(o, path)
+    return serving.newest_partition(spark, path, ["o_orderkey"], custkey=o.agg(F.min("custkey")).first()[0]).select("custkey", "o_orderkey", "dt")

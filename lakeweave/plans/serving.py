@@ -5,10 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.operators.dimensions import open_versions
+from lakeweave.sources import readers
+from lakeweave.sources.fs import Files
 
 
 def by_key(df: DataFrame, **keys: object) -> DataFrame:
@@ -27,6 +29,22 @@ def newest(df: DataFrame, order: list[str | Column], n: int = 1, **keys: object)
     return by_key(df, **keys).orderBy(*[(F.col(c) if isinstance(c, str) else c).desc() for c in order]).limit(n)
 
 
+def newest_partition(spark: SparkSession, root: str, order: list[str | Column] | None = None, n: int = 1, **keys: object) -> DataFrame:
+    """The last rows of a key in the newest day's partition that has any, with its `dt`.
+
+    Partitions are asked one by one from the newest on, each by its own path and with the key pushed down to the scan,
+    until one answers; older ones aren't touched. A key of no partition gives no rows, as does a root without any.
+    """
+    days = sorted((x.removeprefix("dt=") for x in Files(spark).names(root) if x.startswith("dt=") and x != "dt=__HIVE_DEFAULT_PARTITION__"), reverse=True)
+    found = None
+    for day in days:
+        found = by_key(readers.leaf(spark, root, day), **keys).withColumn("dt", F.lit(day))
+        found = newest(found, order or ["dt"], n)
+        if not found.isEmpty():
+            return found
+    return found if found is not None else spark.createDataFrame([], "dt string")
+
+
 def newest_each(df: DataFrame, key: str, order: str) -> DataFrame:
     """For every key its last row, by partial aggregation."""
     others = [c for c in df.columns if c != key]

@@ -15,17 +15,13 @@ from pyspark.sql import functions as F
 from lakeweave.functions.scalar import bucketize, count_where, half_up, money, plain_ratio, ratio, surrogate_key, total, total_where
 from lakeweave.operators import dimensions, governance, maintenance, metrics, quality
 from lakeweave.plans import serving
-from lakeweave.sources import readers, sinks
+from lakeweave.sources import generated, readers, sinks
 from lakeweave.sources.fs import Files, checked_day
 from lakeweave.sources.versioned import SnapshotStore
 from lakeweave.streaming import windows
 
-#: The schemas of the business exports and of the stream.
-EXPORTS = {
-    "customer": "customer_id string, customer_name string, gender string, age int, education string, marital_status string, occupation string, city string, register_date string",
-    "loan_application": "application_id string, customer_id string, apply_time timestamp, loan_amnt double, term int, interest_rate double, purpose string, grade string, annual_income double, dti double, fico_score int, verification_status string, home_ownership string, is_approved int, is_default int",
-    "repay_flow": "flow_id string, application_id string, customer_id string, due_date string, repay_time timestamp, due_amount double, repay_amount double, overdue_days int",
-}
+#: The schemas of the business exports and of the stream, and the attributes that make a new version.
+EXPORTS = {"customer": generated.CUSTOMER, "loan_application": generated.APPLICATION, "repay_flow": generated.REPAYMENT}
 STREAM = "flow_id string, application_id string, customer_id string, event_time timestamp, repay_amount double, overdue_days int"
 ATTRIBUTES = ["gender", "age", "education", "marital_status", "occupation", "city"]
 TRACKED = ["occupation", "city", "age", "education"]
@@ -55,19 +51,19 @@ class Warehouse:
 
     def generate(self, day: str, customers: int = 2000, applications: int = 5000, batches: int = 3) -> None:
         """A day's exports, and its repayments as stream files."""
-        people = readers.customers(self.spark, customers, day)
-        apps = readers.applications(self.spark, applications, customers, day)
-        self.export(day, people, apps, readers.repayments(apps, day))
+        people = generated.customers(self.spark, customers, day)
+        apps = generated.applications(self.spark, applications, customers, day)
+        self.export(day, people, apps, generated.repayments(apps, day))
         self.land(day, batches)
 
     def export(self, day: str, customers: DataFrame, applications: DataFrame, repayments: DataFrame) -> None:
         for name, df in (("customer", customers), ("loan_application", applications), ("repay_flow", repayments)):
             df.write.mode("overwrite").option("header", True).option("timestampFormat", readers.TIMESTAMP_FORMAT).csv(f"{self.root}/business/{name}/dt={checked_day(day)}")
 
-    def land(self, day: str, batches: int = 3) -> int:
+    def land(self, day: str, batches: int = 3) -> list[str]:
         flows = readers.csv(self.spark, f"{self.root}/business/repay_flow/dt={checked_day(day)}", EXPORTS["repay_flow"])
         messages = flows.select("flow_id", "application_id", "customer_id", F.col("repay_time").alias("event_time"), "repay_amount", "overdue_days")
-        return sinks.landing_batches(messages, f"{self.root}/landing/repay_stream", day, batches, "flow_id")
+        return list(sinks.landing_batches(messages, f"{self.root}/landing/repay_stream", day, batches, "flow_id"))
 
     # ---- layers
 
@@ -229,10 +225,10 @@ class Warehouse:
         return serving.daily(self.spark.read.parquet(self.at("ads", "ads_risk_daily")), "apply_date", day)
 
     def features_of(self, application_id: str) -> DataFrame:
-        return serving.newest(readers.partitions(self.spark, self.at("ads", "ads_scorecard_features")), ["dt"], application_id=application_id)
+        return serving.newest_partition(self.spark, self.at("ads", "ads_scorecard_features"), application_id=application_id)
 
     def customer_history(self, customer_id: str) -> DataFrame:
-        return serving.newest(readers.partitions(self.spark, self.at("dws", "dws_customer_day")), ["dt"], customer_id=customer_id)
+        return serving.newest_partition(self.spark, self.at("dws", "dws_customer_day"), customer_id=customer_id)
 
     def customer_now(self, customer_id: str) -> DataFrame:
         return serving.current_version(self.dimension(), customer_id=customer_id)

@@ -101,10 +101,19 @@ class Files:
 _own: dict[str, str] = {}
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a local folder, in local mode alone, since executors elsewhere don't see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='lakeweave-')}")
+    return base.rstrip("/")
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='lakeweave-')}")
-    return f"{base.rstrip('/')}/{checked_name(name)}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, below shared_base()."""
+    return f"{shared_base(spark)}/{checked_name(name)}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

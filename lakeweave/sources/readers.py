@@ -1,4 +1,4 @@
-"""Scans: explicit-schema CSV, partition leaves and roots, fault-tolerant JSON lines, streams, event logs, generated data."""
+"""Scans: explicit-schema CSV, partition leaves and roots, fault-tolerant JSON lines, streams, event logs."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lakeweave.functions.scalar import stable_hash
-
 from .fs import Files, checked_day
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -45,18 +43,19 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, in_prog
     """Rows of a folder of JSON lines that may still be written: blank, broken and half-written lines are left out.
 
     Files in progress, whose names begin with a dot, are read too; those that begin with '._' and files of other
-    systems that begin with '_' aren't. prefix: (column, start of its text) that rows must have.
+    systems that begin with '_' aren't. prefix: (column, start of its text) that rows must have. Spark's listing passes
+    over names with a dot, so such files are read by tasks as whole binary files, named one by one.
     """
-    files = Files(spark)
-    names = [n for n in files.names(path) if not n.startswith(("._", "_")) and (in_progress or not n.startswith(".")) and not n.endswith(".crc")]
+    names = [n for n in Files(spark).names(path) if not n.startswith(("._", "_")) and (in_progress or not n.startswith(".")) and not n.endswith(".crc")]
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not names:
         return spark.createDataFrame([], kind)
-    hidden = [n for n in names if n.startswith(".")]
-    lines = spark.read.text([f"{path}/{n}" for n in names if n not in hidden]) if len(names) > len(hidden) else None
-    for n in hidden:  # Spark's own listing passes over these names
-        more = spark.createDataFrame([(x,) for x in files.read(f"{path}/{n}").split("\n")], "value string")
-        lines = more if lines is None else lines.unionByName(more)
+    plain, hidden = [f"{path}/{n}" for n in names if not n.startswith(".")], [f"{path}/{n}" for n in names if n.startswith(".")]
+    parts = [spark.read.text(plain)] if plain else []
+    if hidden:
+        whole = spark.read.format("binaryFile").load(hidden).select(F.decode("content", "UTF-8").alias("text"))
+        parts.append(whole.select(F.explode(F.split("text", "\r?\n")).alias("value")))
+    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = lines.where(F.trim("value") != "").select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object("value", "$").isNotNull().alias("whole"))
     rows = rows.where("whole and r is not null").select("r.*")
     return rows.where(F.col(prefix[0]).cast("string").startswith(prefix[1])) if prefix else rows
@@ -96,119 +95,20 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def task_metrics(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """Of an event log's finished tasks from a byte on: how many, longest, median and total run time, shuffle bytes written."""
+    """Of an event log's finished tasks from a byte on: how many, longest, median and total run time, shuffle bytes written.
+
+    The tasks' lines are told by the offset that Spark's own reader gives each of its splits; a line counts if it
+    begins at `start` or later, so the caller may pass the log's size at the last reading.
+    """
     schema = "Event string, `Task Metrics` struct<`Executor Run Time`: long, `Shuffle Write Metrics`: struct<`Shuffle Bytes Written`: long>>"
-    if start:
-        text = Files(spark).read(path).encode()[start:].decode(errors="ignore")
-        lines = spark.createDataFrame([(x,) for x in text.split("\n")], "value string")
-    else:
-        lines = spark.read.text(path)
+    lines = spark.read.text(path) if not start else _text_from(spark, path, start)
     tasks = lines.select(F.from_json("value", schema).alias("e")).where("e.Event = 'SparkListenerTaskEnd'")
     run = F.col("e.`Task Metrics`.`Executor Run Time`")
     written = F.col("e.`Task Metrics`.`Shuffle Write Metrics`.`Shuffle Bytes Written`")
     return tasks.agg(F.count("*").alias("tasks"), F.max(run).alias("max_ms"), F.median(run).cast("long").alias("median_ms"), F.sum(run).alias("total_ms"), F.coalesce(F.sum(written), F.lit(0)).alias("shuffle_bytes"))
 
 
-# ------------------------------------------------------------------ generated data
-
-#: Words of the synthetic business tables.
-EDUCATIONS = ["high school", "college", "bachelor", "master", "doctor"]
-MARITALS = ["single", "married", "divorced", "widowed"]
-OCCUPATIONS = ["employee", "civil servant", "freelance", "self-employed", "specialist", "service", "other"]
-CITIES = ["Shanghai", "Beijing", "Shenzhen", "Guangzhou", "Hangzhou", "Chengdu", "Wuhan", "Nanjing", "Xi'an", "Suzhou"]
-PURPOSES = ["car", "renovation", "education", "medical", "business", "consumption", "other"]
-GRADES = ["A", "B", "C", "D", "E", "F", "G"]
-HOMES = ["own", "mortgage", "rent", "other"]
-CHECKS = ["verified", "unverified", "in progress"]
-TERMS = [12, 24, 36, 48, 60]
-LATE_DAYS = [1, 3, 7, 15, 30]
-
-
-def _pick(words: list, number: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, words)), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
-
-
-def _chance(*parts) -> Column:
-    """A number from 0 up to 1 that depends on the parts alone."""
-    return stable_hash(*parts).cast("double") / float(1 << 48)
-
-
-def _digits(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
-
-
-def customers(spark: SparkSession, n: int, day: str) -> DataFrame:
-    """A full snapshot of n customers; on any day about one in a hundred has moved and changed occupation."""
-    key = F.concat(F.lit("C"), _digits(F.col("id"), 6))
-    rows = spark.range(1, n + 1).select("id", key.alias("customer_id")).withColumn("h", stable_hash("customer_id"))
-    drift = F.when(stable_hash("customer_id", F.lit(checked_day(day))) % 100 == 0, 1).otherwise(0)
-    part = lambda d: F.floor(F.col("h") / d).cast("long")
-    return rows.select(
-        "customer_id", F.concat(F.lit("user"), _digits(F.col("id"), 6)).alias("customer_name"), F.when(F.col("h") % 2 == 1, "M").otherwise("F").alias("gender"),
-        (F.col("h") % 40 + 22).cast("int").alias("age"), _pick(EDUCATIONS, F.col("h")).alias("education"), _pick(MARITALS, part(5)).alias("marital_status"),
-        _pick(OCCUPATIONS, part(7) + drift).alias("occupation"), _pick(CITIES, part(11) + 2 * drift).alias("city"),
-        F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("h") % 1500).cast("int")).cast("string").alias("register_date"),
-    )
-
-
-def applications(spark: SparkSession, n: int, n_customers: int, day: str) -> DataFrame:
-    """A day's n loan applications; every draw is a hash of day, row and column, so rows don't depend on each other."""
-    day = checked_day(day)
-    rows = spark.range(1, n + 1).select("id").withColumn("h", stable_hash(F.lit("app"), F.lit(day), "id"))
-    draw = lambda what: _chance(F.lit(what), F.lit(day), "id")
-    grade = F.pmod(F.col("h"), F.lit(len(GRADES)))
-    who = F.floor(draw("customer") * n_customers).cast("long") + 1
-    at = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(day))) + F.floor(draw("second") * 86400).cast("long"))
-    approved = draw("approved") < 0.72
-    return rows.select(
-        F.concat(F.lit("A" + day.replace("-", "")), _digits(F.col("id"), 7)).alias("application_id"), F.concat(F.lit("C"), _digits(who, 6)).alias("customer_id"), at.alias("apply_time"),
-        (F.pmod(F.floor(F.col("h") / 7).cast("long"), F.lit(295000)) + 5000).cast("double").alias("loan_amnt"), _pick(TERMS, stable_hash(F.lit("term"), F.lit(day), "id")).alias("term"),
-        F.round(0.045 + grade * 0.015 + draw("rate") * 0.02, 4).alias("interest_rate"), _pick(PURPOSES, F.col("h")).alias("purpose"), _pick(GRADES, F.col("h")).alias("grade"),
-        (F.pmod(F.col("h"), F.lit(400000)) + 60000).cast("double").alias("annual_income"), F.round(0.05 + draw("dti") * 0.55, 4).alias("dti"), (F.pmod(F.col("h"), F.lit(240)) + 620).cast("int").alias("fico_score"),
-        _pick(CHECKS, stable_hash(F.lit("check"), F.lit(day), "id")).alias("verification_status"), _pick(HOMES, F.col("h")).alias("home_ownership"),
-        approved.cast("int").alias("is_approved"), (approved & (draw("default") < 0.05 + grade * 0.03)).cast("int").alias("is_default"),
-    )
-
-
-def repayments(apps: DataFrame, day: str) -> DataFrame:
-    """One repayment a approved application: 12 % are overdue, and half of those unpaid."""
-    day = checked_day(day)
-    draw = lambda what: _chance(F.lit(what), "application_id")
-    due, late = F.round(F.col("loan_amnt") / F.col("term"), 2), draw("late") < 0.12
-    at = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(day))) + F.floor(draw("paid at") * 86400).cast("long"))
-    return apps.where("is_approved = 1").select(
-        F.concat(F.lit("R"), F.substring("application_id", 2, 20)).alias("flow_id"), "application_id", "customer_id", F.lit(day).alias("due_date"), at.alias("repay_time"),
-        due.alias("due_amount"), F.when(late & (draw("unpaid") < 0.5), 0.0).otherwise(due).alias("repay_amount"), F.when(late, _pick(LATE_DAYS, stable_hash(F.lit("days"), "application_id"))).otherwise(0).alias("overdue_days"),
-    )
-
-
-def skewed(spark: SparkSession, rows: int, hot: int = 100, share: float = 0.95, cold: int = 100_000, parts: int = 8) -> DataFrame:
-    """(key, amt) with a share of the rows on a few hot keys."""
-    numbers = spark.range(0, rows, 1, parts)
-    is_hot = _chance(F.lit("hot"), "id") < share
-    key = F.when(is_hot, F.concat(F.lit("hot_"), F.col("id") % hot)).otherwise(F.concat(F.lit("cold_"), hot + F.col("id") % cold))
-    return numbers.select(key.alias("key"), F.round(_chance(F.lit("amt"), "id") * 5000, 2).alias("amt"))
-
-
-def external_loans(raw: DataFrame, n: int, day: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customers, applications and repayments from a public loan table (id, annualIncome, employmentTitle, ...).
-
-    n rows are drawn in order of a hash of their id. Missing incomes and ratios are 0, missing titles `other`.
-    """
-    day = checked_day(day)
-    some = raw.orderBy(stable_hash("id"), "id").limit(n).withColumn("id", F.col("id").cast("long"))
-    key = F.concat(F.lit("C"), _digits(F.col("id"), 8))
-    people = some.select(
-        key.alias("customer_id"), F.concat(F.lit("user"), _digits(F.col("id"), 8)).alias("customer_name"), F.when(F.col("id") % 2 == 1, "M").otherwise("F").alias("gender"),
-        (F.col("id") % 35 + 25).cast("int").alias("age"), F.when(F.col("annualIncome") > 100000, "bachelor").otherwise("college").alias("education"),
-        F.when(F.col("id") % 3 != 0, "married").otherwise("single").alias("marital_status"), F.coalesce(F.substring(F.col("employmentTitle").cast("string"), 1, 20), F.lit("other")).alias("occupation"),
-        F.concat(F.lit("region"), F.col("regionCode").cast("int").cast("string")).alias("city"), F.lit("2021-01-01").alias("register_date"),
-    )
-    apps = some.select(
-        F.concat(F.lit("A" + day.replace("-", "")), _digits(F.col("id"), 8)).alias("application_id"), key.alias("customer_id"), F.to_timestamp(F.lit(f"{day} 12:00:00")).alias("apply_time"),
-        F.col("loanAmnt").cast("double").alias("loan_amnt"), F.col("term").cast("int").alias("term"), F.col("interestRate").cast("double").alias("interest_rate"), F.col("purpose").cast("string").alias("purpose"),
-        F.col("grade").cast("string").alias("grade"), F.coalesce(F.col("annualIncome").cast("double"), F.lit(0.0)).alias("annual_income"), F.coalesce(F.col("dti").cast("double"), F.lit(0.0)).alias("dti"),
-        F.col("ficoRangeLow").cast("int").alias("fico_score"), F.col("verificationStatus").cast("string").alias("verification_status"), F.col("homeOwnership").cast("string").alias("home_ownership"),
-        F.lit(1).alias("is_approved"), F.col("isDefault").cast("int").alias("is_default"),
-    )
-    return people, apps, repayments(apps, day)
+def _text_from(spark: SparkSession, path: str, start: int) -> DataFrame:
+    """Lines of one file that begin at a byte or later, by Hadoop's line reader, whose keys are the lines' offsets."""
+    keyed = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
+    return spark.createDataFrame(keyed, "at long, value string").where(F.col("at") >= start).select("value")

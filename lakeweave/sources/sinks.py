@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .fs import Files, checked_day, checked_name
+from .fs import Files, checked_day, checked_name, stored, workspace
 
 
 def overwrite_day(df: DataFrame, root: str, day: str) -> str:
@@ -29,15 +30,33 @@ def export_csv(df: DataFrame, path: str, order_by: str | None = None) -> None:
     (df.orderBy(order_by) if order_by else df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def landing_batches(df: DataFrame, path: str, day: str, batches: int, order_by: str) -> int:
-    """JSON lines in up to `batches` folders batch_{day}_{nnn}, each a range of rows in order; returns how many."""
-    n = df.count()
-    if not n:
-        return 0
-    size = max(1, math.ceil(n / batches))
-    numbered = df.repartitionByRange(batches, order_by)
-    numbered.write.mode("overwrite").json(f"{path}/batch_{checked_day(day)}")
-    return math.ceil(n / size)
+def landing_batches(df: DataFrame, path: str, day: str, batches: int, order_by: str) -> Iterator[str]:
+    """Writes the rows in order into files batch_{day}_{nnn}.json of JSON lines, and yields each one's path as it lands.
+
+    Numbers count from 001; each file has ceil(n / batches) rows, the last what is left, so there may be fewer. A file
+    is written beside the folder and renamed, so a stream sees it whole. Rows are numbered by sorted ranges and the
+    ranges' sizes, so no task gets them all; NULLs come first, ties stay together in one range in any order.
+    """
+    spark, files = df.sparkSession, Files(df.sparkSession)
+    ranged = stored(df.repartitionByRange(order_by).select("*", F.spark_partition_id().alias("_range")).sortWithinPartitions(order_by), "landing")
+    before, sizes = 0, {}
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        sizes[r[0]], before = before, before + r[1]
+    if not before:
+        return
+    each = math.ceil(before / max(1, batches))
+    first = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("_range"))
+    numbered = ranged.withColumn("_batch", F.floor((first + F.row_number().over(Window.partitionBy("_range").orderBy(order_by)) - 1) / each).cast("int"))
+    beside = workspace(spark, "landing-files")
+    numbered.drop("_range").repartition("_batch").sortWithinPartitions("_batch", order_by).write.partitionBy("_batch").json(beside)
+    files.make(path)
+    for k in range(math.ceil(before / each)):
+        (name,) = [x for x in files.names(f"{beside}/_batch={k}") if x.startswith("part-")]
+        target = f"{path}/batch_{checked_day(day)}_{k + 1:03d}.json"
+        files.delete(target)
+        files.move(f"{beside}/_batch={k}/{name}", target)
+        yield target
+    files.delete(beside)
 
 
 def kafka_batch(df: DataFrame, servers: str, topic: str, **options: str) -> None:
@@ -90,7 +109,9 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if Files(spark).exists(path) else spark.createDataFrame([], schema)
 
 
-def report(df: DataFrame, path: str, **head: object) -> None:
-    """A small result as one JSON document: the head's fields and `rows`."""
-    rows = [json.loads(x) for x in df.toJSON().collect()]
+def report(df: DataFrame, path: str, most: int = 10_000, **head: object) -> None:
+    """A small result as one JSON document: the head's fields and `rows`. A larger one than `most` rows is refused."""
+    rows = [json.loads(x) for x in df.limit(most + 1).toJSON().collect()]
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows; write it as a table")
     Files(df.sparkSession).write(path, json.dumps({**head, "rows": rows}, ensure_ascii=False, indent=1, default=str))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions.scalar import bucketize, count_where, plain_ratio, ratio, relative_gap, stable_hash
 from lakeweave.operators import dimensions, governance, maintenance, merge, metrics, quality
 from lakeweave.plans import serving
-from lakeweave.sources import readers, sinks
+from lakeweave.sources import generated, readers, sinks
 from lakeweave.sources.fs import Files, checked_day, checked_name, workspace
 from lakeweave.sources.versioned import SnapshotStore
 from lakeweave.streaming import windows
@@ -74,7 +74,7 @@ def test_union_by_name(spark):
 
 
 def test_salted_equals_direct(spark):
-    s = readers.skewed(spark, 5000, hot=3, cold=50).withColumn("amt", F.col("amt").cast("decimal(18,2)"))
+    s = generated.skewed(spark, 5000, hot=3, cold=50).withColumn("amt", F.col("amt").cast("decimal(18,2)"))
     assert got(merge.salted_sum(s, "key", F.col("amt"), "s", 7)) == got(merge.keyed_sum(s, "key", F.col("amt"), "s"))
 
 
@@ -355,11 +355,24 @@ def test_cache(spark):
 
 
 def test_generated_data(spark):
-    a, b = readers.customers(spark, 500, "2024-01-01"), readers.customers(spark, 500, "2024-01-02")
-    assert got(a) == got(readers.customers(spark, 500, "2024-01-01"))
+    a, b = generated.customers(spark, 2000, "2024-01-01"), generated.customers(spark, 2000, "2024-01-02")
+    assert got(a) == got(generated.customers(spark, 2000, "2024-01-01")) and a.schema.simpleString().startswith("struct<customer_id:string")
     moved = a.join(b.withColumnRenamed("city", "city2"), "customer_id").where("city <> city2").count()
-    assert 0 < moved < 30
-    apps = readers.applications(spark, 300, 500, "2024-01-01")
-    flows = readers.repayments(apps, "2024-01-01")
-    assert flows.count() == apps.where("is_approved = 1").count()
-    assert flows.where("overdue_days not in (0, 1, 3, 7, 15, 30)").count() == 0
+    assert 0 < moved < 60
+    apps = generated.applications(spark, 3000, 500, "2024-01-01")
+    flows = generated.repayments(apps, "2024-01-01")
+    assert flows.count() == apps.where("is_approved = 1").count() and 0.3 < flows.count() / 3000 < 0.7
+    assert apps.where("fico_score not between 500 and 857 or loan_amnt < 1000 or to_date(apply_time) <> date'2024-01-01'").isEmpty()
+    assert flows.where("overdue_days > 60").count() and flows.where("repay_amount < due_amount and overdue_days <= 30").isEmpty()
+    rates = {r.grade: r.bad for r in apps.where("is_approved = 1").groupBy("grade").agg(F.avg("is_default").alias("bad")).collect()}
+    assert rates["F"] > rates["A"]
+
+
+def test_external_loans_tables(spark):
+    raw = spark.createDataFrame([(i, None if i % 3 == 0 else 50000.0 + i, None if i % 2 else "engineer of very long titles", 7, 9000 + i, 36, 0.1, "car", "B", None, 700, "0", "1", i % 2) for i in range(1, 41)], "id long, annualIncome double, employmentTitle string, regionCode int, loanAmnt int, term int, interestRate double, purpose string, grade string, dti double, ficoRangeLow int, verificationStatus string, homeOwnership string, isDefault int")
+    people, apps, flows = generated.external_loans(raw, 25, "2024-01-02")
+    assert people.count() == apps.count() == flows.count() == 25
+    assert apps.join(people, "customer_id").count() == 25
+    assert apps.where("annual_income is null or dti <> 0 or is_approved <> 1").isEmpty()
+    assert {r.occupation for r in people.collect()} == {"unknown", "engineer of very lon"}
+    assert got(generated.external_loans(raw, 25, "2024-01-02")[2]) == got(flows)
