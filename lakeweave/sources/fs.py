@@ -88,6 +88,11 @@ class Files:
         fs, p = self._at(path)
         fs.mkdirs(p)
 
+    def copy(self, old: str, new: str) -> None:
+        """As a stream, so the driver holds a buffer of it at most."""
+        (fs, a), (to, b) = self._at(old), self._at(new)
+        self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, self.conf)
+
     def move(self, old: str, new: str) -> None:
         fs, a = self._at(old)
         if not fs.rename(a, self.jvm.org.apache.hadoop.fs.Path(new)):

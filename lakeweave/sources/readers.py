@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .fs import Files, checked_day
+from .fs import Files, checked_day, workspace
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -43,19 +43,19 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, in_prog
     """Rows of a folder of JSON lines that may still be written: blank, broken and half-written lines are left out.
 
     Files in progress, whose names begin with a dot, are read too; those that begin with '._' and files of other
-    systems that begin with '_' aren't. prefix: (column, start of its text) that rows must have. Spark's listing passes
-    over names with a dot, so such files are read by tasks as whole binary files, named one by one.
+    systems that begin with '_' aren't. prefix: (column, start of its text) that rows must have. Spark's readers pass
+    over names with a dot, so such files are copied under other names to the shared folder, as they are at this moment.
     """
     names = [n for n in Files(spark).names(path) if not n.startswith(("._", "_")) and (in_progress or not n.startswith(".")) and not n.endswith(".crc")]
     kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not names:
         return spark.createDataFrame([], kind)
-    plain, hidden = [f"{path}/{n}" for n in names if not n.startswith(".")], [f"{path}/{n}" for n in names if n.startswith(".")]
-    parts = [spark.read.text(plain)] if plain else []
-    if hidden:
-        whole = spark.read.format("binaryFile").load(hidden).select(F.decode("content", "UTF-8").alias("text"))
-        parts.append(whole.select(F.explode(F.split("text", "\r?\n")).alias("value")))
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    files, paths, beside = Files(spark), [f"{path}/{n}" for n in names if not n.startswith(".")], workspace(spark, "in-progress")
+    for n in names:
+        if n.startswith("."):
+            files.copy(f"{path}/{n}", f"{beside}/open{n}")
+            paths.append(f"{beside}/open{n}")
+    lines = spark.read.text(paths)
     rows = lines.where(F.trim("value") != "").select(F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object("value", "$").isNotNull().alias("whole"))
     rows = rows.where("whole and r is not null").select("r.*")
     return rows.where(F.col(prefix[0]).cast("string").startswith(prefix[1])) if prefix else rows
