@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,21 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lakeweave.sources.fs import shared_base
+
 #: Bytes of text that a kernel takes at a time; bounds the numpy arrays of a Python worker.
 CHUNK_BYTES = 1 << 19
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own if that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="lakeweave-")
-        spark.sparkContext.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """Session options that hold for the jobs run within, and are as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:

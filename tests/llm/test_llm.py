@@ -487,20 +487,75 @@ def test_substring_tables(spark, small, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_substring_sound(spark):
+    """Words that a polynomial hash modulo 2^64 can't tell apart; equal 32-bit hashes of texts without an id; very many copies."""
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(34))
+    texts = [f"{thue} {tail}", f"{thue.translate(str.maketrans('ab', 'ba'))} {tail}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+    long = " ".join(f"z{k % 45}" for k in range(90))
+    many = spark.range(500_000).select(F.concat("id", F.lit(" "), F.when(F.col("id") % 2 == 0, long).otherwise(tail)).alias("text"))
+    same = many.groupBy(F.hash("text")).agg(F.min_by("text", F.length("text")).alias("a"), F.max_by("text", F.length("text")).alias("b")).where("length(b) > length(a) + 50").first()
+    rows = spark.createDataFrame([(None, same.a), (None, same.b), (None, long), (None, tail), (None, None)], "doc_id long, text string")
+    assert multiset(tuple(r) for r in substring_dedup.remove_repeats(rows).collect()) == multiset(brute_repeats(listed(rows)))
+
+
+def test_substring_copies(spark):
+    text, other = words(60), words(50)
+    df = spark.range(0, 100_000, 1, 16).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 99, F.concat(F.lit(other + " only"), "id")).otherwise(text).alias("text"))
+    got = substring_dedup.remove_repeats(df).groupBy("n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(60, 60, 99_000), (51, 50, 1000)}
+    spans = substring_dedup.FingerprintIndex(spark)
+    spans.add(df)
+    flags = substring_dedup.repeated_windows(df, 35, spark.sparkContext.broadcast(spans.filter()))
+    assert flags.agg(F.max(F.size("spans"))).first()[0] < 500
+
+
 def test_index_runs_and_compaction(spark, small):
-    index = substring_dedup.FingerprintIndex(spark, fanout=2)
+    index = substring_dedup.FingerprintIndex(spark)
     for k in range(3):
         index.add(small.where(F.pmod("doc_id", F.lit(3)) == k))
     assert [level for level, _ in index.runs] == [1, 0]
     whole = substring_dedup.FingerprintIndex(spark)
     whole.add(small)
-    assert multiset(r.fp for r in index.repeated().collect()) == multiset(r.fp for r in whole.repeated().collect())
-    index.compact()
-    assert len(index.runs) == 1 and multiset(r.fp for r in index.repeated().collect()) == multiset(r.fp for r in whole.repeated().collect())
-    first = index.read(index.runs[0][1])
+    fps = lambda x: {r.fp for r in x.repeated().collect()}
+    assert fps(index) == fps(whole)
+    again = substring_dedup.FingerprintIndex(spark, index.path)
+    assert again.runs == index.runs and fps(again) == fps(whole)
+    again.compact()
+    assert len(again.runs) == 1 and fps(again) == fps(whole)
+    first = again.read(again.runs[0][1])
     assert first.count() == first.select("fp").distinct().count()
 
 
+def test_index_joins_runs_as_they_are(spark, small):
+    """Runs are read by bucket and in order: neither a shuffle nor a sort of one."""
+    index = substring_dedup.FingerprintIndex(spark, fanout=3)
+    index.add(small.where("doc_id % 2 = 0"))
+    index.add(small.where("doc_id % 2 = 1"))
+    (_, a), (_, b) = index.runs
+    with index._settings():
+        plan = index.merged(a, b)._jdf.queryExecution().executedPlan().toString()
+        batch = index.joined(substring_dedup._counted(small, "text", 35))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert batch.count("SortMergeJoin") == 2 and batch.count("Exchange hashpartitioning") == 1 and batch.count("Sort [") == 1
+
+
+def test_incremental_dedup(spark, small):
+    """Each batch judged on itself and history, the index opened anew in between, against brute force over both."""
+    parts = [small.where(F.pmod("doc_id", F.lit(3)) == k) for k in range(3)]
+    index, history = substring_dedup.FingerprintIndex(spark), None
+    for part in parts:
+        index = substring_dedup.FingerprintIndex(spark, index.path)
+        got = substring_dedup.remove_repeats(part, batches=1, index=index, history=history)
+        seen = listed(part) + (listed(history) if history is not None else [])
+        assert multiset(tuple(r) for r in got.collect()) == multiset(brute_repeats(seen)[: part.count()])
+        history = part if history is None else history.union(part)
+
+
 # ---------------------------------------------------------------- 9 WARC
 
 
