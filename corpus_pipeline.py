@@ -37,11 +37,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages that it repeats or shares; a text that loses nothing stays as it is."""
-    got = substring_dedup.remove_repeats(docs, carry=tuple(docs.columns))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
-    made = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return got.select(*[made.get(c, F.col(f"rest.{c}")).alias(c) for c in docs.columns])
+    """Every document without the passages that it repeats or shares; a text that loses nothing stays as it is.
+
+    Null texts, null and repeated ids and extra columns stay as well; copies of a text lose all their windows. Empty
+    tables give none.
+    """
+    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    got = substring_dedup.remove_repeats(docs, carry=others, as_is=True)
+    made = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)}
+    return got.select(*[made.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
