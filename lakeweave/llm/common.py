@@ -55,6 +55,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like this that df doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def tokenizer_file(name: str) -> str:
     """Where this machine keeps a file of the public tokenizers."""
     import public_tokenizers

@@ -33,8 +33,8 @@ from .hashing import grams, sliding_min, within, word_hashes
 
 U64 = np.uint64
 WINDOW, GRAM = 35, 16
-#: Bits of the filter of candidate fingerprints that tasks get: 16 for each, within these powers of two. The most is
-#: 64 MB; beyond some 10^8 candidates it lets more windows through to verification, and never drops one.
+#: Bits of the filter of candidate fingerprints that tasks get: 64 for each, within these powers of two. The most is
+#: 64 MB; beyond some 10^7 candidates it lets more windows through to verification, and never drops one.
 LEAST_BITS, MOST_BITS = 20, 29
 #: Runs of one level that are merged into one of the next.
 FANOUT = 2
@@ -167,7 +167,7 @@ class FingerprintIndex:
     def filter(self) -> np.ndarray:
         """A filter of repeated(): 2^k bits, two for each fingerprint."""
         count = self.repeated().count()
-        k = min(MOST_BITS, max(LEAST_BITS, (16 * count).bit_length()))
+        k = min(MOST_BITS, max(LEAST_BITS, (64 * count).bit_length()))
         low = F.shiftrightunsigned("fp", 64 - 2 * k).bitwiseAND((1 << k) - 1)
         slots = self.repeated().select(F.explode(F.array(F.shiftrightunsigned("fp", 64 - k), low)).alias("slot"))
         bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")

@@ -242,6 +242,18 @@ def test_near_dedup_chains_through_removed_documents(spark, sf_dir):
     assert {r.doc_id: r.component for r in simhash.similar_groups(other, known=known).collect()} == {2: 1, 3: 1}
 
 
+def test_near_dedup_by_row(spark, sf_dir):
+    """Distinct texts of one id both stay; of equal rows one stays; ids that are null go after others."""
+    long = [" ".join(f"t{d}w{k}" for k in range(60)) for d in range(3)]
+    rows = [(1, long[0]), (2, long[0]), (2, long[1]), (9, long[2]), (9, long[2]), (None, long[1]), (None, None), (3, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "en", None, len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    got = corpus_pipeline.near_dedup(spark, df, sf_dir)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text or "") for r in got.collect()]
+    assert multiset(kept) == multiset([(1, long[0]), (2, long[1]), (9, long[2]), (3, "")])
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), sf_dir).count() == 0
+
+
 def test_trie_links_are_of_least_distance():
     centre = 0x0123456789ABCDEF
     v = np.sort(np.array([centre] + [centre ^ (1 << b) ^ (1 << c) for b, c in ((0, 1), (2, 3), (4, 5), (6, 7), (8, 9))], np.uint64))
@@ -262,25 +274,102 @@ def brute_base(df, train):
 @pytest.mark.parametrize("head", [8, 200_000])
 def test_lm_base(odd, head):
     train = odd.where("doc_id % 3 <> 1 or doc_id is null")
-    model = brown_lm.fit(train, clustered=5, classes=3, head=head)
+    model = brown_lm.fit(train, core=5, classes=3, head=head)
     got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in brown_lm.score(odd, model).collect()]
     assert multiset(got) == multiset(brute_base(odd, train))
 
 
 def test_lm_head_changes_no_score(odd):
-    a, b = ({(r.doc_id, r.n_tokens, round(r.score, 6)) for r in brown_lm.score(odd, brown_lm.fit(odd, clustered=5, classes=3, head=h)).collect()} for h in (30, 200_000))
+    a, b = ({(r.doc_id, r.n_tokens, round(r.score, 6)) for r in brown_lm.score(odd, brown_lm.fit(odd, core=5, classes=3, head=h)).collect()} for h in (30, 200_000))
     assert a == b
 
 
+def brute_lm(model, train, texts):
+    """Scores by the formulas alone, word by word, from counts of its own; only the words' classes are the model's."""
+    split = lambda t: (t or "").encode().lower().split()
+    core, k = {w for w, i in model.head.items() if i < model.core}, model.classes
+
+    def cls(w):
+        if w in core:
+            return int(model.head_class[model.head[w]])
+        got = int(model.buckets[brown_lm.bucket(w, model.bits)])
+        return int(model.shapes[brown_lm.shape(w)]) if got == brown_lm.BY_SHAPE else got
+
+    steps, count = np.zeros((k + 1, k + 1)), collections.Counter()
+    for t in train:
+        seq = [k, *map(cls, split(t)), k]
+        count.update(split(t))
+        for x, y in zip(seq, seq[1:], strict=False):
+            steps[x, y] += 1
+    total = steps.sum(axis=0)
+    share = (total + 0.5) / (total.sum() + 0.5 * (k + 1))
+    move = (steps + 5 * share) / (steps.sum(axis=1, keepdims=True) + 5)
+    tokens, types = collections.Counter(), collections.Counter()
+    for w, n in count.items():
+        tokens[cls(w)] += n
+        types[cls(w)] += 1
+    ones, twos = (sum(n == x for n in count.values()) for x in (1, 2))
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos)))
+    out = []
+    for t in texts:
+        words = split(t)
+        seq = [k, *map(cls, words), k]
+        p = sum(math.log10(move[x, y]) for x, y in zip(seq, seq[1:], strict=False))
+        out.append(p + sum(math.log10((count[w] - d if count[w] else d * max(types[cls(w)], 1)) / max(tokens[cls(w)], 1)) for w in words))
+    return out, move
+
+
+@pytest.mark.parametrize("core, classes, head", [(5, 3, 12), (40, 6, 200_000), (300, 20, 350)])
+def test_lm_score(odd, core, classes, head):
+    train = odd.where("doc_id % 3 <> 1 or doc_id is null")
+    model = brown_lm.fit(train, core=core, classes=classes, head=head)
+    want, move = brute_lm(model, [t for _, t in listed(train)], [t for _, t in listed(odd)])
+    assert np.allclose(10**model.transition, move)
+    got = multiset((r.doc_id, r.n_tokens, round(r.score, 5)) for r in brown_lm.score(odd, model).collect())
+    assert got == multiset((i, len((t or "").encode().split()) + 1, round(s, 5)) for (i, t), s in zip(listed(odd), want, strict=True))
+
+
+def test_lm_classes_by_context(odd):
+    """Each bucket has the class of the greatest gain over all its words' contexts next to the core."""
+    m = brown_lm.fit(odd, core=30, classes=5)
+    core = {w: int(m.head_class[i]) for w, i in m.head.items() if i < m.core}
+    near, table = collections.defaultdict(lambda: np.zeros((2, m.classes + 1))), np.zeros((m.classes + 1, m.classes + 1))
+    for _, t in listed(odd):
+        seq = [None, *(t or "").encode().lower().split(), None]
+        for x, y in zip(seq, seq[1:], strict=False):
+            a, b = (m.classes if w is None else core.get(w) for w in (x, y))
+            if a is not None and b is not None:
+                table[a, b] += 1
+            elif b is not None:
+                near[brown_lm.bucket(x, m.bits)][0, b] += 1
+            elif a is not None:
+                near[brown_lm.bucket(y, m.bits)][1, a] += 1
+    for k, (after, before) in near.items():
+        gain = [sum(after[c] * math.log((table[x, c] + 0.5) / (table[x] + 0.5).sum()) + before[c] * math.log((table[c, x] + 0.5) / (table[:, x] + 0.5).sum()) for c in range(m.classes + 1)) for x in range(m.classes)]
+        assert gain[m.buckets[k]] == pytest.approx(max(gain))
+    assert near and {k for k in range(1 << m.bits) if m.buckets[k] != brown_lm.BY_SHAPE} == set(near)
+
+
 def test_lm_is_a_distribution(odd):
     """Transitions sum to one; emissions of a class to one with the unseen word's share."""
-    m = brown_lm.fit(odd, clustered=6, classes=3)
+    m = brown_lm.fit(odd, core=6, classes=3)
     assert np.allclose((10**m.transition).sum(axis=1), 1)
-    p = np.bincount(m.head_class, 10**m.head_emission, m.classes + brown_lm.OPEN)
-    assert np.allclose(p[: m.classes], 1)
-    for k in range(brown_lm.OPEN):
-        if m.open_tokens[k]:
-            assert p[m.classes + k] + m.discount * m.open_types[k] / m.open_tokens[k] == pytest.approx(1)
+    p = np.bincount(m.head_class, 10 ** m.emission(m.head_count, m.head_class), m.classes)
+    some = m.class_tokens > 0
+    assert np.allclose((p + m.discount * m.class_types / np.maximum(m.class_tokens, 1))[some], 1)
+
+
+def test_lm_rows_without_ids(spark):
+    """Texts of one 32-bit hash, without ids, and ids that repeat: each row has its own result."""
+    rows = spark.createDataFrame([(None, "a b c d"), (None, "a b"), (7, "a b c d e f"), (7, "a"), (7, "a"), (None, None)], "doc_id long, text string")
+    got = brown_lm.score(rows, brown_lm.fit(rows, core=3, classes=2)).collect()
+    assert multiset((r.doc_id, r.n_tokens) for r in got) == multiset([(None, 5), (None, 3), (7, 7), (7, 2), (7, 2), (None, 1)])
+
+
+def test_lm_head_of_ties(spark):
+    rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(500)))], "doc_id long, text string")
+    m = brown_lm.fit(rows, core=100, classes=4, head=200)
+    assert 100 < len(m.head) <= 200 and m.core == 100
 
 
 def test_lm_beats_unigrams_on_held_out(small):
