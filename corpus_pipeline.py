@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import decontaminate, langid, sentencepiece_bpe, simhash, substring_dedup
-from lakeweave.llm.common import tokenizer_file, written
+from lakeweave.llm.common import tokenizer_file, unused, written
 from lakeweave.llm.queries import MODEL, table
 
 #: A text of which no learned language has this probability is rejected, as is one without letters.
@@ -25,15 +25,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Documents without id all stay.
+    """One document of each group of near-duplicates: that with the smallest doc_id, of repeated ids any one row.
 
     Fingerprints of four-word shingles at 4 bits find copies and the nearest of near copies, in groups of any size;
     MinHash bands find those of a similarity of 0.8 or more on five words. A group is what both kinds of links connect.
-    What goes grows with the input, so it meets the documents in a sort-merge join at any size.
+    Rows are told apart by numbers given in a table written first, so ids may be null (those go after all others) or
+    repeat: rows of one id go only if their texts are alike. Null texts count as empty, and empty ones as alike. Empty
+    tables give no rows. What goes grows with the input, so it meets the documents in a sort-merge join at any size.
     """
-    near = written(simhash.near_duplicates(docs).select("doc_id", "component"), "near-dedup")
-    gone = simhash.similar_groups(docs, SIMILARITY, known=near).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone"), "left_anti")
+    row = unused("row", docs)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    near = written(simhash.near_duplicates(rows, row).select(row, "component"), "near-links")
+    linked = simhash.similar_groups(rows, SIMILARITY, row, known=near).select(F.col(row).alias("member"), F.col("component").alias("of_group"))
+    members = written(linked.union(linked.select("of_group", "of_group")).distinct(), "near-groups")
+    named = members.join(rows.select(F.col(row).alias("at"), F.col("doc_id").alias("id")), F.col("member") == F.col("at"))
+    first = named.groupBy(F.col("of_group").alias("g")).agg(F.min(F.struct(F.col("id").isNull(), "id", "member")).alias("first"))
+    gone = members.join(first, F.col("of_group") == F.col("g")).where("member <> first.member").select("member")
+    return rows.join(gone.hint("merge"), F.col(row) == F.col("member"), "left_anti").drop(row)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +57,19 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item, all columns as they are.
+
+    Null and empty texts leak nothing and stay, as do all rows if the benchmark is empty; ids play no part, and equal
+    rows stay or go together. Empty tables give none.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): each document's token ids, and the text that they decode to."""
+    """(doc_id, n_tokens, ids, decoded): each document's token ids, and the text that they decode to.
+
+    One row for each row, null and repeated ids included. Null texts count as empty: no ids, an empty text.
+    """
     got = sentencepiece_bpe.encode(docs, tokenizer_file(MODEL))
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
