@@ -2,7 +2,8 @@
 
 Grams of one to three characters of the lower-cased text, other characters than letters read as a space, are hashed
 into 2^16 buckets. Training counts all grams of all labelled texts; the matrix of log-probabilities is broadcast, and
-batches of texts are scored as sparse rows of bucket numbers against it in numpy.
+batches of texts are scored as sparse rows of bucket numbers against it in numpy. More languages than one broadcast may
+have go in blocks, one after the other, and the texts' probabilities are normalised over all of them.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import in_arrow, pieces, with_id
+from .common import in_arrow, pieces, unused, written
 
 ORDERS, BUCKET_BITS, BLOCK, SMOOTHING = 3, 16, 1024, 0.5
-#: Languages that the broadcast matrix may have: 128 MB.
+#: Languages that a broadcast matrix may have: 128 MB.
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 #: Overlapping grams aren't independent: of the grams of each order, one in each character's worth counts.
@@ -56,29 +58,48 @@ def gram_buckets(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]],
 
 
 @dataclass
-class Model:
+class Block:
+    """A stretch of the languages, in order of their names."""
+
     languages: list[str]
     log_prior: np.ndarray
     log_prob: np.ndarray  # languages x buckets
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language and its probability; `und` with 0 for texts without letters."""
+    def like(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the likeliest language, its logarithm and the sum of all in the block, not normalised; whether
+        it has a letter."""
         parts, some = gram_buckets(texts)
-        if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         like = np.stack([sum(np.bincount(text, w[bucket], len(texts)) for bucket, text in parts) for w in self.log_prob], axis=1)
-        post = like / TEMPERATURE + self.log_prior
-        post = np.exp(post - post.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-        best = post.argmax(axis=1)
-        return [self.languages[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)], np.where(some, post.max(axis=1), 0.0)
+        like = like / TEMPERATURE + self.log_prior
+        top = like.max(axis=1)
+        return [self.languages[k] for k in like.argmax(axis=1)], top, np.exp(like - top[:, None]).sum(axis=1), some
+
+
+@dataclass
+class Model:
+    """languages with their shares of the training texts; counts: (lang, block, docs, counts) of all of them, written."""
+
+    languages: list[str]
+    log_prior: np.ndarray
+    counts: DataFrame
+
+    def blocks(self, most: int | None = None) -> Iterator[Block]:
+        most = most or MOST_LANGUAGES
+        for a in range(0, len(self.languages), most):
+            names = self.languages[a : a + most]
+            at, counts = {x: i for i, x in enumerate(names)}, np.zeros((len(names), 1 << BUCKET_BITS))
+            for r in self.counts.where(F.col("lang").between(names[0], names[-1])).collect():
+                counts[at[r.lang], r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
+            prob = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
+            yield Block(names, self.log_prior[a : a + most], np.log(prob))
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from every row with text and language, whatever their number.
 
-    Each task adds its rows into one matrix and sends it in blocks of buckets, which are summed by block; the driver
-    gets half a megabyte a language. Rows with null in either column teach nothing.
+    Each task adds its rows into one matrix and sends it in blocks of buckets, which are summed by block and written;
+    the driver gets half a megabyte a language, of MOST_LANGUAGES at a time. Rows with null in either column teach
+    nothing, and a table without others gives a model without languages.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,47 +126,58 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
 
     schema = "lang string, block int, docs long, counts binary"
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    rows = rows.transform(in_arrow, count, schema).groupBy("lang", "block").applyInArrow(add, schema).collect()
-    langs = sorted({r.lang for r in rows})
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the broadcast matrix is bounded at {MOST_LANGUAGES}")
-    counts, docs = np.zeros((len(langs), 1 << BUCKET_BITS)), np.ones(len(langs))
-    for r in rows:
-        counts[langs.index(r.lang), r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
-        docs[langs.index(r.lang)] = r.docs
-    prob = (counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * counts.shape[1])
-    return Model(langs, np.log(docs / docs.sum()), np.log(prob))
+    counts = written(rows.transform(in_arrow, count, schema).groupBy("lang", "block").applyInArrow(add, schema), "languages")
+    docs = sorted((r.lang, r.docs) for r in counts.groupBy("lang").agg(F.max("docs").alias("docs")).collect())
+    n = np.array([d for _, d in docs], np.float64)
+    return Model([x for x, _ in docs], np.log(n / n.sum()) if len(n) else n, counts)
+
+
+def with_language(df: DataFrame, model: Model, text_col: str, lang: str, score: str, keep: list[str]) -> DataFrame:
+    """Columns of df, as named by keep, and two more: the likeliest language of each text and its probability; `und` and 0 without letters.
+
+    One pass over the texts for each block of languages; between blocks the rows are written with what is known so far.
+    Of equally likely languages the first by name is taken.
+    """
+    top, total = unused("top", df), unused("total", df)
+    more, at = StructType.fromDDL(f"`{lang}` string, `{top}` double, `{total}` double"), df.columns.index(text_col)
+    n, blocks = len(df.columns), -(-len(model.languages) // MOST_LANGUAGES)
+    rows = df.select("*", F.lit(UNKNOWN).alias(lang), F.lit(float("-inf")).alias(top), F.lit(0.0).alias(total))
+    for number, block in enumerate(model.blocks()):
+        sent = df.sparkSession.sparkContext.broadcast(block)
+        names = keep if number == blocks - 1 else df.columns  # the text needn't come back from the last block
+        kind = StructType([*(df.schema[c] for c in names), *more])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, places=tuple(df.columns.index(c) for c in names), kind=kind) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches, text_col):
+                best, new, mass, some = sent.value.like([x or "" for x in b.column(at).to_pylist()])
+                before, old, sums = b.column(n).to_pylist(), np.asarray(b.column(n + 1)), np.asarray(b.column(n + 2))
+                high = np.maximum(old, new)
+                sums = np.where(np.isinf(old), 0, sums * np.exp(old - high)) + mass * np.exp(new - high)
+                found = [(x if u > v else y) if s else UNKNOWN for x, y, u, v, s in zip(best, before, new, old, some, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array(found, pa.string()), pa.array(np.where(some, high, -np.inf)), pa.array(np.where(some, sums, 0.0))], kind.names)
+
+        rows = (written(rows, "languages-so-far") if number else rows).transform(in_arrow, run, kind)
+    return rows.select(*keep, lang, F.when(F.col(total) > 0, 1 / F.col(total)).otherwise(0.0).alias(score))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row: a learned language and its probability from 0 to 1.
 
     Null text and text without letters give `und` with score 0, as does every text if nothing was learned. Ties go
-    to the language that is first by name. Rows are independent: repeated rows and null ids each keep their row.
+    to the language that is first by name. Rows are independent: repeated rows and null ids each keep their row. Empty
+    tables give none.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text"):
-            lang, score = sent.value.predict([x or "" for x in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
-
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, with_id(df, id_col, "lang_pred string, score double")).withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return with_language(rows, model, "text", "lang_pred", "score", ["id"]).select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def keep_known(df: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df whose language is known with at least that probability, with lang_col as predicted.
 
     Rejected are null texts, texts without letters, and texts of which no language is likely enough. All other
-    columns stay as they are.
+    columns stay as they are, ids play no part, and equal rows stay or go together. Ties go to the language that is
+    first by name; empty tables give none.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(lang_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, text_col):
-            lang, score = sent.value.predict([x or "" for x in b.column(text_col).to_pylist()])
-            columns = [*b.columns[:at], pa.array(lang, pa.string()), *b.columns[at + 1 :]]
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)]))
-
-    return df.transform(in_arrow, run, df.schema)
+    lang, score = unused("predicted", df), unused("likely", df)
+    rows = with_language(df, model, text_col, lang, score, df.columns).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least))
+    return rows.select(*[F.col(lang).cast(df.schema[c].dataType).alias(c) if c == lang_col else c for c in df.columns])

@@ -24,8 +24,10 @@ from .common import in_arrow, new_path, written
 
 #: Records that a file holds at most: a file is the unit of reading.
 RECORDS = 4000
-#: Index rows of the sample that key ranges are cut from, and rows that a range holds about.
-SAMPLE, RANGE_ROWS = 20_000, 50_000
+#: Index rows that a range of keys holds about, and rows of the sample for each range that ranges are cut from.
+RANGE_ROWS, SAMPLED = 50_000, 20
+#: Payload digests that occur more than once, up to which number they go to all tasks: 100 bytes each at most.
+SENT = 100_000
 EPOCH = 1_704_067_200  # captures are dated from 2024-01-01, one second a page_id
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "urlkey string, ts string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, file string, at long, bytes long"
@@ -112,6 +114,8 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
     latest = rows.groupBy(F.col("sha").alias("s"), F.col("size").alias("z")).agg(F.max("page_id").alias("latest"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    latest = written(latest, "warc-repeats")  # short: pages themselves go through no shuffle unless very many repeat
+    latest = F.broadcast(latest) if latest.count() <= SENT else latest.hint("merge")
     rows = rows.join(latest, (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z")), "left")
     rows = rows.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("latest")), None).otherwise(F.col("latest")).alias("refers_to"))
     store, base = _store(path)
@@ -215,17 +219,18 @@ def merged(runs: list[list[tuple]]) -> Iterator[tuple]:
 def histories(runs: DataFrame) -> DataFrame:
     """The captures of all runs in global order by (urlkey, ts, page_id, file, at): column `position` counts from 0.
 
-    Ranges of the whole order key are cut from a sample of bounded size, so a URL with very many captures falls into
-    several ranges. A range's number comes with its rows in one shuffle; each task merges its part of every run.
+    Ranges of the whole order key, as many as the rows ask for, are cut from a sample of some rows for each, so a URL
+    with very many captures falls into several ranges. A range's number comes with its rows in one shuffle; each task merges its part of every run.
     """
     spark = runs.sparkSession
     runs = written(runs, "warc-runs")
     total = runs.count()
     key = F.struct("urlkey", "ts", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "file", "at")
-    every = max(1, total // SAMPLE)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
+    every = max(1, total // (parts * SAMPLED))
     sample = runs.where(F.pmod(F.xxhash64("file", "at"), F.lit(every)) == 0).select(key.alias("k")).collect()
     keys = sorted(((r.k[0] or "").encode(), *tuple(r.k)[1:]) for r in sample)
-    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_ROWS), max(1, len(keys)))
+    parts = min(parts, max(1, len(keys)))
     cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
     sent = spark.sparkContext.broadcast(cuts)
 

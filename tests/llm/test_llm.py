@@ -118,6 +118,40 @@ def test_langid(spark, odd, nothing, small):
     assert kept.columns == odd.columns and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t in listed(odd))
 
 
+def brute_langid(train, texts):
+    """Naive Bayes from counts of each text's own grams, added up one by one."""
+    grams = lambda t: [int(b) for bucket, _ in langid.gram_buckets([t])[0] for b in bucket]
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for t, lang in train:
+        counts[lang].update(grams(t))
+        docs[lang] += 1
+    out, size = [], 1 << langid.BUCKET_BITS
+    for t in texts:
+        if not any(c.isalpha() for c in t or "") or not docs:
+            out.append(("und", 0.0))
+            continue
+        like = {}
+        for lang in docs:
+            total = sum(counts[lang].values()) + 0.5 * size
+            like[lang] = sum(math.log((counts[lang][b] + 0.5) / total) for b in grams(t)) / 3 + math.log(docs[lang] / sum(docs.values()))
+        best = min(like, key=lambda x: (-like[x], x))
+        out.append((best, 1 / sum(math.exp(v - like[best]) for v in like.values())))
+    return out
+
+
+@pytest.mark.parametrize("block", [256, 3, 1])
+def test_langid_by_brute_force(odd, small, monkeypatch, block):
+    """All languages in one block, or in several."""
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", block)
+    rows = small.where("doc_id < 80").select("doc_id", "text", "lang").union(odd.select("doc_id", "text", F.concat("lang", F.lit("2"))))
+    train = [(r.text, r.lang) for r in rows.collect() if r.text is not None and r.lang is not None]
+    got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.predict(odd, langid.fit(rows)).collect()]
+    want = brute_langid(train, [t for _, t in listed(odd)])
+    assert len({x for _, x in train}) > 3 and multiset(got) == multiset((i, x, round(v, 6)) for (i, _), (x, v) in zip(listed(odd), want, strict=True))
+    kept = langid.keep_known(odd, langid.fit(rows), 0.3)
+    assert multiset((r.doc_id, r.lang) for r in kept.collect()) == multiset((i, x) for (i, _), (x, v) in zip(listed(odd), want, strict=True) if v >= 0.3)
+
+
 def test_langid_counts_match_brute_force():
     parts, some = langid.gram_buckets(["aB c", "abc", "Ab"])
     assert some.all() and [np.bincount(t, minlength=3).tolist() for _, t in parts] == [[3, 3, 2], [5, 4, 3], [5, 4, 3]]
@@ -523,12 +557,51 @@ def test_pu_quality(spark, sf_dir, odd, nothing):
     assert {r.score for r in pu_quality.score(odd, blank).collect()} == {0.5}
 
 
+def test_quality_sums_by_brute_force(odd):
+    """Moments and histograms over all texts, and the scores that follow from them, against plain matrices."""
+    texts, trusty = [(t or "").encode() for _, t in listed(odd)], (4, 5, 7, 8, 9, 10, 11, 12, 14, 15)
+    x = np.concatenate((pu_quality.features(texts).astype(float), np.ones((len(texts), 1))), axis=1)
+    yes, use = np.array([i in trusty for i, _ in listed(odd)]), np.array([zlib.crc32(t) & 1 for t in texts])
+    rows = odd.select("text", F.coalesce(F.col("doc_id").isin(*trusty), F.lit(False)).alias("trusted"))
+    got, first = pu_quality.moments(rows), use == 0
+    assert (yes & first).any() and (yes & ~first).any()
+    assert np.allclose(got[0], x[first].T @ x[first], rtol=1e-4, atol=1e-4) and np.allclose(got[1], x[yes & first].T @ x[yes & first], rtol=1e-4, atol=1e-4)
+    model = pu_quality.fit(odd, odd.where(F.col("doc_id").isin(*trusty)).select("doc_id"))
+    every, some = pu_quality.histograms(rows, model)
+    at = np.clip((model.raw(x[:, :-1]) + pu_quality.REACH) / (2 * pu_quality.REACH) * pu_quality.BINS, 0, pu_quality.BINS - 1).astype(int)
+    assert some.sum() == (yes & ~first).sum() and np.abs(np.cumsum(every) - np.cumsum(np.bincount(at[~first], minlength=pu_quality.BINS))).max() <= 1
+    assert (np.diff(model.curve) >= 0).all()
+    want = model.score(x[:, :-1])
+    assert multiset((r.doc_id, round(r.score, 3)) for r in pu_quality.score(odd, model).collect()) == multiset((i, round(v, 3)) for (i, _), v in zip(listed(odd), want, strict=True))
+
+
 def test_prior_estimate():
     r = np.random.default_rng(1)
-    pos = r.normal(1.5, 1, (1500, 3))
-    unl = np.concatenate([r.normal(1.5, 1, (2100, 3)), r.normal(-1.5, 1, (900, 3))])
-    r.shuffle(unl)
-    assert abs(pu_quality.estimate_prior(pos, unl) - 0.7) < 0.08
+    pos = r.normal(1.5, 1, 15_000)
+    unl = np.concatenate([r.normal(1.5, 1, 21_000), r.normal(-1.5, 1, 9000)])
+    bins = np.linspace(-8, 8, 513)
+    assert abs(pu_quality.prior_of(np.histogram(unl, bins)[0], np.histogram(pos, bins)[0]) - 0.7) < 0.08
+
+
+def test_risk_is_held_at_zero():
+    """The risk of negatives doesn't fall below zero, and no other weights near by have less risk."""
+    r = np.random.default_rng(4)
+    pos, unl = r.normal(0.7, 1, (12, 6)), np.concatenate([r.normal(0.7, 1, (20, 6)), r.normal(-0.7, 1, (10, 6))])
+    pos, unl = (np.concatenate((x, np.ones((len(x), 1))), axis=1) for x in (pos, unl))
+    p, u, prior, ridge = pos.T @ pos / len(pos), unl.T @ unl / len(unl), 0.9, 1e-3
+
+    def risks(w):
+        return prior * ((1 - pos @ w) ** 2).mean() / 4, ((1 + unl @ w) ** 2).mean() / 4 - prior * ((1 + pos @ w) ** 2).mean() / 4
+
+    def risk(w):
+        yes, no = risks(w)
+        return yes + max(0, no) + ridge * (w[:-1] @ w[:-1]) / 4
+
+    free = np.linalg.solve(u + np.diag([ridge] * 6 + [0]), 2 * prior * p[-1] - u[-1])
+    assert risks(free)[1] < 0
+    w = pu_quality.least_risk(u, p, prior, ridge)
+    assert risks(w)[1] > -1e-6
+    assert all(risk(w) <= risk(w + r.normal(0, s, 7)) + 1e-6 for s in (0.003, 0.03, 0.3) for _ in range(200))
 
 
 def test_quality_features_do_not_depend_on_neighbours():
