@@ -1,14 +1,16 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked by a self-join of binary tries.
 
-A fingerprint pair within k differing bits agrees on at least one of k + 1 blocks of bits. Each distinct fingerprint
-goes once to each block's value, with that block turned to the front; below each such root stands a binary trie of
-the rest. Pairs of trie nodes are traversed together, level by level: each pair carries the differing bits so far,
+A fingerprint pair within k differing bits agrees on at least r of k + r blocks of bits. Each distinct fingerprint goes
+once to the value of each choice of r blocks, with these turned to the front; below each such root stands a binary trie
+of the rest. r grows with the number of fingerprints, so that a root's trie stays small. Pairs of trie nodes are traversed together, level by level: each pair carries the differing bits so far,
 and is pruned as soon as they exceed the budget, or as soon as all leaves below both are known to be connected.
 Tries are sorted arrays: a node is a range and a depth.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ BITS, SHINGLE, SEED, BUDGET = 64, 4, 42, 4
 FRONTIER = 1 << 16
 #: Rows of whole units that a task joins at a time; a larger unit is joined alone.
 PORTION = 1 << 16
+#: Fingerprints that a root may have on average before roots are cut finer.
+UNIT = 1 << 15
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -63,18 +67,41 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(in_arrow, run, schema).withColumnRenamed("id", id_col)
 
 
-def block_edges(budget: int) -> list[int]:
-    """Bit positions, from the highest down, at which budget + 1 nearly equal blocks begin and end."""
-    return [round(i * BITS / (budget + 1)) for i in range(budget + 2)]
+#: One turning of the 64 bits: (right shift that brings a block down, its width, its shift after the turning) of each.
+Turning = tuple[tuple[int, int, int], ...]
 
 
-def rooted(values: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each block in turn, all values with that block in front: the block's number, and the turned value."""
-    edges, block, turned = block_edges(budget), [], []
-    for i, e in enumerate(edges[:-1]):
-        block.append(np.full(len(values), i, np.int32))
-        turned.append(values << U64(e) | values >> U64(BITS - e) if e else values)
-    return np.concatenate(block), np.concatenate(turned)
+def turnings(budget: int, front: int = 1) -> tuple[list[Turning], list[int]]:
+    """For each choice of `front` out of budget + front nearly equal blocks the turning that puts these first, and how
+    many bits they have: values within the budget agree on all blocks of at least one choice."""
+    edges = [round(i * BITS / (budget + front)) for i in range(budget + front + 1)]
+    blocks = range(budget + front)
+    out, bits = [], []
+    for chosen in itertools.combinations(blocks, front):
+        moved, to = [], BITS
+        for i in (*chosen, *(i for i in blocks if i not in chosen)):
+            width = edges[i + 1] - edges[i]
+            to -= width
+            moved.append((BITS - edges[i + 1], width, to))
+        out.append(tuple(moved))
+        bits.append(sum(edges[i + 1] - edges[i] for i in chosen))
+    return out, bits
+
+
+def blocks_in_front(count: int, budget: int) -> int:
+    """How many blocks a root takes so that it has UNIT fingerprints or fewer on average; at most three."""
+    return next((r for r in (1, 2) if count >> min(turnings(budget, r)[1]) <= UNIT), 3)
+
+
+def turned(values: np.ndarray, turning: Turning) -> np.ndarray:
+    out = np.zeros(len(values), U64)
+    for down, width, up in turning:
+        out |= (values >> U64(down) & U64((1 << width) - 1)) << U64(up)
+    return out
+
+
+def turned_back(values: np.ndarray, turning: Turning) -> np.ndarray:
+    return turned(values, tuple((up, width, down) for down, width, up in turning))
 
 
 class Forest:
@@ -195,41 +222,47 @@ def _traverse(forest: Forest, values: np.ndarray, root_bits: np.ndarray, budget:
                 stack.append(x)
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint", seed: str | None = None) -> DataFrame:
-    """(seed, a, b) long links between distinct fingerprints that connect all pairs within the budget.
-
-    seed: a column that parts the fingerprints into sets, each joined with itself alone; without one seed is 0.
+def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint", front: int | None = None) -> DataFrame:
+    """(a, b) long links between distinct fingerprints that connect all pairs within the budget.
 
-    Each fingerprint goes once to each of budget + 1 blocks' values. A task's rows come sorted by block value; a
-    block value's trie is one unit, at most a 2^12-th part of evenly spread fingerprints. Returned are the links of
-    a spanning forest of each unit, never all its pairs. A null fingerprint links to nothing.
+    Each fingerprint goes once to each choice of blocks; a task's rows come sorted by root. A root's trie is one unit.
+    Returned are the links of a spanning forest of each unit, never all its pairs. A null fingerprint links to nothing.
+    front: blocks that a root takes; by the number of fingerprints if not given.
     """
-    edges = block_edges(budget)
-    val = F.col("v")
-    turned = F.array(*[F.struct(F.lit(i).alias("block"), (F.shiftleft(val, e).bitwiseOR(F.shiftrightunsigned(val, BITS - e)) if e else val).alias("turned"), F.shiftrightunsigned(F.shiftleft(val, e) if e else val, BITS - (edges[i + 1] - e)).alias("key")) for i, e in enumerate(edges[:-1])])
-    which = F.col(seed).cast("int") if seed else F.lit(0)
-    units = distinct.select(F.col(col).alias("v"), which.alias("seed")).where("v is not null").select("seed", F.explode(turned).alias("x")).select("seed", "x.*")
-    units = units.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed", "block", "key").sortWithinPartitions("seed", "block", "key", "turned")
+    front = front or blocks_in_front(distinct.count(), budget)
+    ways, bits = turnings(budget, front)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
-        shift = np.array(edges[:-1], U64)
+    def piece(down: int, width: int, up: int):
+        return F.shiftleft(F.shiftrightunsigned("v", down).bitwiseAND((1 << width) - 1 if width < BITS else -1), up)
 
-        def new_unit(seed, block, turned, key):
-            return (seed[1:] != seed[:-1]) | (block[1:] != block[:-1]) | (key[1:] != key[:-1])
+    def way(i: int):
+        new = functools.reduce(lambda x, y: x.bitwiseOR(y), [piece(*x) for x in ways[i]])
+        return F.struct(F.lit(i).alias("block"), new.alias("turned"))
 
-        def done(seed, block, turned, key):
-            v = turned.view(U64)
-            root = np.concatenate(([0], np.cumsum(new_unit(seed, block, turned, key))))
+    units = distinct.select(F.col(col).alias("v")).where("v is not null").select(F.explode(F.array(*[way(i) for i in range(len(ways))])).alias("x")).select("x.*")
+    width = F.element_at(F.array(*[F.lit(BITS - n) for n in bits]), F.col("block") + 1)
+    units = units.withColumn("key", F.call_function("shiftrightunsigned", F.col("turned"), width))
+    units = units.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "key").sortWithinPartitions("block", "key", "turned")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def new_unit(block, value, key):
+            return (block[1:] != block[:-1]) | (key[1:] != key[:-1])
+
+        def done(block, value, key):
+            v = value.view(U64)
+            root = np.concatenate(([0], np.cumsum(new_unit(block, value, key))))
             order = np.lexsort((v, root))  # signed order within a root differs from that of unsigned bits
-            v, root, block, seed = v[order], root[order], block[order], seed[order]
+            v, root, block = v[order], root[order], block[order]
             a, b = trie_join(v, root, budget)
-            back = lambda at: np.where(block[at] == 0, v[at], v[at] >> shift[block[at]] | v[at] << (U64(BITS) - shift[block[at]]) % U64(BITS))
-            return pa.RecordBatch.from_arrays([pa.array(seed[a].astype(np.int32)), pa.array(back(a).view(np.int64)), pa.array(back(b).view(np.int64))], ["seed", "a", "b"])
+            ends = np.zeros((2, len(a)), U64)
+            for i in np.unique(block[a]).tolist():
+                here = block[a] == i
+                ends[0, here], ends[1, here] = turned_back(v[a[here]], ways[i]), turned_back(v[b[here]], ways[i])
+            return pa.RecordBatch.from_arrays([pa.array(ends[0].view(np.int64)), pa.array(ends[1].view(np.int64))], ["a", "b"])
 
-        held, most = [rest], PORTION
+        held, most = [[np.zeros(0, np.int64)] * 3], PORTION
         for b in batches:
-            held.append([np.asarray(b.column(x)).astype(np.int64) for x in ("seed", "block", "turned", "key")])
+            held.append([np.asarray(b.column(x)).astype(np.int64) for x in ("block", "turned", "key")])
             if sum(len(x[0]) for x in held) < most:
                 continue
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -243,7 +276,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, col: str = "fingerprint", s
         if len(cols[0]):
             yield done(*cols)
 
-    return units.transform(in_arrow, run, "seed int, a long, b long").distinct()
+    return units.transform(in_arrow, run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
@@ -272,6 +305,10 @@ SKETCH = 1024
 BANDS, DEPTH = 40, 6
 #: What a sketch's estimate may be off by, five standard errors: nearer to the asked similarity, the sets are compared.
 UNSURE = 0.065
+#: Bits of the small sketch that goes along with every band key, one a bin, from the bins that bands don't use; a pair
+#: goes on to the whole sketch unless the estimate is five standard errors (0.019 of the bits, twice that of the
+#: similarity) below the one asked for. Texts with fewer words than SHORT always go on: theirs is too coarse.
+SMALL, SMALL_UNSURE, SHORT = 256, 0.19, 100
 #: Texts that a task sketches, rows and bytes of whole units that it holds, and pairs that it compares at a time.
 SKETCHED, UNITS, UNIT_BYTES, COMPARED = 1024, 1 << 14, 16 << 20, 4096
 
@@ -325,6 +362,34 @@ def compare(key: np.ndarray, ids: np.ndarray, group: np.ndarray, judge) -> tuple
     return place[a], place[b], np.flatnonzero(doubt)
 
 
+def small_sketch(values: np.ndarray) -> np.ndarray:
+    """(texts x 4) the low bits of SMALL bins that no band uses."""
+    low = (values[:, BANDS * DEPTH : BANDS * DEPTH + SMALL] & U64(1)).astype(np.uint8)
+    return np.packbits(low, axis=1).view(np.int64)
+
+
+def hopeful(key: np.ndarray, group: np.ndarray, small: np.ndarray, short: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows have a row of the same key and of another group that may be alike by the small sketch. Rows come
+    sorted by key. Pairs of rows that are both known to have one needn't be looked at."""
+    most = int((1 - similarity + SMALL_UNSURE) / 2 * SMALL)
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
+    unit = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(key))))
+    end = np.append(cut[1:], len(key))[unit]
+    rows, d, out, small = np.arange(len(key)), 1, np.zeros(len(key), bool), small.view(U64)
+    while True:
+        if d & (d - 1) == 0:  # now and then, units leave of which all rows are known
+            rows = rows[~np.logical_and.reduceat(out, cut)[unit[rows]]]
+        rows = rows[rows + d < end[rows]]
+        if not len(rows):
+            return out
+        apart = rows[(group[rows] != group[rows + d]) & ~(out[rows] & out[rows + d])]
+        for i in range(0, len(apart), 1 << 16):
+            a = apart[i : i + (1 << 16)]
+            yes = a[(np.bitwise_count(small[a] ^ small[a + d]).sum(axis=1) <= most) | short[a] | short[a + d]]
+            out[yes] = out[yes + d] = True
+        d += 1
+
+
 def by_sketch(sketch: np.ndarray, similarity: float):
     def judge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         equal = _ALIKE[sketch[a] ^ sketch[b]].sum(axis=1, dtype=np.int64) / SKETCH
@@ -349,14 +414,16 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     """(id, component) of rows that a chain of pairs of at least that Jaccard similarity of word shingles links to a smaller id.
 
     Candidates are texts that share one of BANDS band keys of their MinHash sketches, which depends on the similarity
-    alone, not on where texts differ. All pairs of a key are compared by sketch, except those connected already, and
-    by their whole sets of shingle hashes where the sketch's estimate is within UNSURE of the similarity.
+    alone, not on where texts differ. All pairs of a key are compared, except those connected already: by a small
+    sketch that comes with the key, which rules out most; then by the whole sketch; then, where the estimate is within
+    UNSURE of the similarity, by the whole sets of shingle hashes.
     known: (id, component) of rows that are linked already, as near_duplicates() gives them; chains lead through both
     kinds of links, and rows that only these link are returned too. Texts of fewer words than a shingle have no pairs
     of their own. Rows without id are left out; rows that repeat an id count as one. Empty tables give no rows.
     """
     from .minhash import bin_values
 
+    minis = ["s1", "s2", "s3", "s4", "short"]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
     def long_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -364,7 +431,7 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
             for k in range(0, b.num_rows, SKETCHED):
                 part = b.slice(k, SKETCHED)
                 texts = text_bytes(part.column("text"))
-                keep = [len(t.split(None, shingle)) >= shingle for t in texts]
+                keep = [len(t.split(None, shingle)) >= shingle for t in texts]  # as bytes, white space is that of words
                 if any(keep):
                     yield part.filter(pa.array(keep)), [t for t, x in zip(texts, keep, strict=True) if x]
 
@@ -374,17 +441,11 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
             low = (values & U64(15)).astype(np.uint8)
             sketch = pa.array([x.tobytes() for x in low[:, 0::2] << 4 | low[:, 1::2]], pa.binary())
             keys = pa.array(list(band_keys(values).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(values.sum(axis=1, dtype=U64).view(np.int64)), keys, sketch], ["id", "digest", "keys", "sketch"])
+            small, short = small_sketch(values), [len(t.split(None, SHORT)) < SHORT for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(values.sum(axis=1, dtype=U64).view(np.int64)), keys, sketch, *(pa.array(small[:, i].copy()) for i in range(4)), pa.array(short)], ["id", "digest", "keys", "sketch", *minis])
 
-    def in_units(column: str, judge):
-        """Rows (a, b) of links between groups; then rows (key, id, group) in doubt."""
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            key, ids, group = (t[c].to_numpy() for c in ("key", "id", "group"))
-            a, b, doubt = compare(key, ids, group, judge(t[column].to_pylist()))
-            n, m = [None] * len(a), [None] * len(doubt)
-            cols = [(group[a].tolist() + m), (group[b].tolist() + m), (n + key[doubt].tolist()), (n + ids[doubt].tolist()), (n + group[doubt].tolist())]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["a", "b", "key", "id", "group"])
+    def in_units(done):
+        """done() of whole units, some at a time."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, most = None, UNITS
@@ -404,6 +465,23 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
 
         return run
 
+    def still_hopeful(t: pa.Table) -> pa.RecordBatch:
+        key, ids, group, short = (t[c].to_numpy() for c in ("key", "id", "group", "short"))
+        keep = hopeful(key, group, np.stack([t[c].to_numpy() for c in minis[:4]], axis=1), short.astype(bool), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, group)], ["key", "id", "group"])
+
+    def linked(column: str, judge):
+        """Rows (a, b) of links between groups; then rows (key, id, group) in doubt."""
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            key, ids, group = (t[c].to_numpy() for c in ("key", "id", "group"))
+            a, b, doubt = compare(key, ids, group, judge(t[column].to_pylist()))
+            n, m = [None] * len(a), [None] * len(doubt)
+            cols = [(group[a].tolist() + m), (group[b].tolist() + m), (n + key[doubt].tolist()), (n + ids[doubt].tolist()), (n + group[doubt].tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["a", "b", "key", "id", "group"])
+
+        return in_units(done)
+
     def sketched(column: list[bytes]):
         return by_sketch(np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1), similarity)
 
@@ -415,26 +493,27 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
 
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = written(rows.transform(in_arrow, prints, "id long, digest long, keys array<long>, sketch binary"), "similar-sketches")
+    every = written(rows.transform(in_arrow, prints, "id long, digest long, keys array<long>, sketch binary, s1 long, s2 long, s3 long, s4 long, short boolean"), "similar-sketches")
     if known is None:
         groups = rows.select("id", F.array("id").alias("groups")).distinct()
     else:
         groups = known.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.sort_array(F.collect_set(F.col("component").cast("long"))).alias("groups"))
     groups = written(groups.select("id", F.col("groups")[0].alias("group"), "groups"), "similar-known")
-    named = every.join(groups.select(F.col("id").alias("of"), "group"), F.col("id") == F.col("of")).select("id", "digest", "keys", "group")
+    named = every.join(groups.select(F.col("id").alias("of"), "group"), F.col("id") == F.col("of")).select("id", "digest", "keys", "group", *minis)
     # of equal texts that are connected already, one is enough
-    each = named.groupBy("digest", "group").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    each = named.groupBy("digest", "group").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in minis])
     units = Window.partitionBy("key")
-    met = each.select("id", "group", F.explode("keys").alias("key")).withColumns({"lo": F.min("group").over(units), "hi": F.max("group").over(units)}).where("lo <> hi").select("key", "id", "group")
-    pairs = written(met, "similar-met")
+    met = each.select("id", "group", F.explode("keys").alias("key"), *minis).withColumns({"lo": F.min("group").over(units), "hi": F.max("group").over(units)}).where("lo <> hi")
+    met = met.select("key", "id", "group", *minis).sortWithinPartitions("key", "id")  # dealt by key already
+    pairs = written(met.transform(in_arrow, in_units(still_hopeful), "key long, id long, group long"), "similar-met")
     met = pairs.join(every.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
     kind = "a long, b long, key long, id long, group long"
-    links = written(met.repartition(parts, "key").sortWithinPartitions("key", "id").transform(in_arrow, in_units("sketch", sketched), kind), "similar-links")
+    links = written(met.repartition(parts, "key").sortWithinPartitions("key", "id").transform(in_arrow, linked("sketch", sketched), kind), "similar-links")
     doubt = links.where("key is not null").select("key", "id", "group")
     asked = doubt.select(F.col("id").alias("of")).distinct()
     shingles = rows.join(asked, F.col("id") == F.col("of"), "left_semi").transform(in_arrow, sets, "id long, shingles binary")
     doubt = doubt.join(shingles.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of").repartition(parts, "key").sortWithinPartitions("key", "id")
-    exact = doubt.transform(in_arrow, in_units("shingles", listed), kind).select("a", "b")
+    exact = doubt.transform(in_arrow, linked("shingles", listed), kind).select("a", "b")
     repeated = groups.where(F.size("groups") > 1).select("group", F.explode("groups"))
     edges = links.where("key is null").select("a", "b").union(exact).union(repeated).toDF("a", "b")
     found = connected_components(edges, "similar-groups").withColumnRenamed("component", "least")

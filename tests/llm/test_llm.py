@@ -215,10 +215,26 @@ def test_trie_join(spark, budget):
         v.append(x)
     v = np.unique(np.concatenate(v))
     want = brute_components([(int(x.view(np.int64)), int(x)) for x in v], budget)
-    links = simhash.links(spark.createDataFrame([(int(x.view(np.int64)),) for x in v], "fingerprint long"), budget).collect()
-    assert all(((e.a ^ e.b) % (1 << 64)).bit_count() <= budget for e in links)
-    comp = {r.node: r.component for r in common.connected_components(spark.createDataFrame([(e.a, e.b) for e in links], "a long, b long")).collect()}
-    assert all(comp.get(i, i) == c for i, _, c in want)
+    for front in (None, 2, 3):
+        links = simhash.links(spark.createDataFrame([(int(x.view(np.int64)),) for x in v], "fingerprint long"), budget, front=front).collect()
+        assert all(((e.a ^ e.b) % (1 << 64)).bit_count() <= budget for e in links)
+        comp = {r.node: r.component for r in common.connected_components(spark.createDataFrame([(e.a, e.b) for e in links], "a long, b long")).collect()}
+        assert all(comp.get(i, i) == c for i, _, c in want)
+
+
+@pytest.mark.parametrize("budget, front", [(4, 1), (4, 2), (4, 3), (2, 1), (0, 1)])
+def test_turnings(budget, front):
+    """Turned back a value is itself; values within the budget share the front of at least one turning."""
+    r = np.random.default_rng(5)
+    v = r.integers(0, 1 << 63, 500, dtype=np.uint64) << np.uint64(1)
+    w = v.copy()
+    for _ in range(budget):
+        w ^= np.uint64(1) << r.integers(0, 64, len(w)).astype(np.uint64)
+    ways, bits = simhash.turnings(budget, front)
+    assert all((simhash.turned_back(simhash.turned(v, x), x) == v).all() for x in ways)
+    same = np.array([(simhash.turned(v, x) ^ simhash.turned(w, x)) >> np.uint64(64 - n) == 0 if n < 64 else v == w for x, n in zip(ways, bits, strict=True)])
+    assert same.any(axis=0).all()
+    assert [simhash.blocks_in_front(n, 4) for n in (1000, 10**8, 10**9, 10**11)] == [1, 1, 2, 3]
 
 
 def test_similar_groups(spark, odd, nothing):
@@ -255,6 +271,23 @@ def test_similar_groups_are_exact_about_0_8(spark):
     assert got == {2 * d + 1: 2 * d for d in range(60) if d % 2}
 
 
+def test_small_sketches_rule_out_no_pair():
+    """Of pairs of a similarity of 0.8 none is ruled out; of unlike texts nearly all are. Rows of one group don't count."""
+    texts = []
+    for d in range(300):
+        base = [f"d{d}w{k}" for k in range(104 + d)]
+        m = len(base) - 4
+        texts += [" ".join(base), " ".join(base[: 4 + math.ceil(0.8 * m)])]
+    values, _ = minhash.bin_values([t.encode() for t in texts], simhash.SKETCH, 5)
+    small, n = simhash.small_sketch(values), len(texts)
+    one = lambda key, group, **x: simhash.hopeful(key, group, small, x.get("short", np.zeros(n, bool)), 0.8)
+    assert one(np.arange(n) // 2, np.arange(n)).all()
+    assert not one(np.arange(n) // 2, np.arange(n) // 2).any()
+    assert one(np.arange(1, n + 1) // 2, np.arange(n)).mean() < 0.02
+    assert one(np.zeros(n, int), np.arange(n)).all()
+    assert one(np.arange(1, n + 1) // 2, np.arange(n), short=np.ones(n, bool))[1:-1].all()
+
+
 def test_similar_groups_go_on_past_a_failed_link():
     # three texts of one key: the first is like neither of the others, which are alike
     r = np.random.default_rng(1)
@@ -538,6 +571,33 @@ def test_sharding_is_native(small):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_hash_tree_by_brute_force(spark):
+    """Every row's descent by draws of its own, for 24 shards and for one more, with weights as well."""
+    import xxhash
+
+    def hashed(key, path):
+        first = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        return xxhash.xxh64_intdigest(path.encode(), first)
+
+    def least(key, nodes):
+        live = [n for n in nodes if n.weight > 0]
+        return min(live, key=lambda n: (-math.log(((hashed(key, n.path) >> 11) + 0.5) / 2**53) / n.weight, n.number))
+
+    def shard(key, nodes):
+        while True:
+            node = least(key, nodes)
+            if not node.children:
+                return node.number
+            nodes = node.children
+
+    keys = [*range(0, 3000, 7), -1, 2**62]
+    df = spark.createDataFrame([(k, f"t{k % 11}") for k in keys], "doc_id long, text string")
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(df).collect()}
+    assert got == {k: (shard(k, sharding.tree(24)), shard(k, sharding.tree(25))) for k in keys}
+    heavy = sharding.tree(24, {3: 5.0, 7: 0.0})
+    assert {r.doc_id: r.shard for r in sharding.placed(df, F.col("doc_id"), heavy).collect()} == {k: shard(k, heavy) for k in keys}
+
+
 # ---------------------------------------------------------------- 7 quality
 
 
