@@ -17,6 +17,8 @@ from lakeweave.llm.queries import MODEL, table
 LEAST_LANGUAGE = 0.3
 #: Least Jaccard similarity of five-word shingles of near-duplicates.
 SIMILARITY = 0.8
+#: Row numbers that are sent to all tasks at most: 8 bytes each, 64 MB in a task's hash table.
+BROADCAST = 4_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     MinHash bands find those of a similarity of 0.8 or more on five words. A group is what both kinds of links connect.
     Rows are told apart by numbers given in a table written first, so ids may be null (those go after all others) or
     repeat: rows of one id go only if their texts are alike. Null texts count as empty, and empty ones as alike. Empty
-    tables give no rows. What goes grows with the input, so it meets the documents in a sort-merge join at any size.
+    tables give no rows. The numbers of rows that go are counted: up to BROADCAST of them are sent to all tasks, so that
+    texts aren't shuffled; more meet the documents in a sort-merge join.
     """
     row = unused("row", docs)
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
@@ -41,7 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = members.join(rows.select(F.col(row).alias("at"), F.col("doc_id").alias("id")), F.col("member") == F.col("at"))
     first = named.groupBy(F.col("of_group").alias("g")).agg(F.min(F.struct(F.col("id").isNull(), "id", "member")).alias("first"))
     gone = members.join(first, F.col("of_group") == F.col("g")).where("member <> first.member").select("member")
-    return rows.join(gone.hint("merge"), F.col(row) == F.col("member"), "left_anti").drop(row)
+    gone = written(gone, "near-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone.hint("merge")
+    return rows.join(gone, F.col(row) == F.col("member"), "left_anti").drop(row)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
