@@ -309,6 +309,8 @@ UNSURE = 0.065
 #: goes on to the whole sketch unless the estimate is five standard errors (0.019 of the bits, twice that of the
 #: similarity) below the one asked for. Texts with fewer words than SHORT always go on: theirs is too coarse.
 SMALL, SMALL_UNSURE, SHORT = 256, 0.19, 100
+#: Ids that are sent to all tasks at most: 8 bytes each, 64 MB in a task's hash table.
+BROADCAST = 4_000_000
 #: Texts that a task sketches, rows and bytes of whole units that it holds, and pairs that it compares at a time.
 SKETCHED, UNITS, UNIT_BYTES, COMPARED = 1024, 1 << 14, 16 << 20, 4096
 
@@ -410,6 +412,14 @@ def by_set(sets: list[np.ndarray], similarity: float):
     return judge
 
 
+def each_once(units: DataFrame) -> DataFrame:
+    """(key, id, group) rows without units, that is, keys, of the very same ids as another: alike texts share many keys,
+    and one is enough to compare them in. Sets of ids are told apart by their number and two checksums."""
+    rows = units.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("y"))
+    kept = rows.groupBy("n", "x", "y").agg(F.min("key").alias("kept"))
+    return units.join(kept.select("kept"), F.col("key") == F.col("kept"), "left_semi")
+
+
 def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, known: DataFrame | None = None) -> DataFrame:
     """(id, component) of rows that a chain of pairs of at least that Jaccard similarity of word shingles links to a smaller id.
 
@@ -506,17 +516,18 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, id_col: str = "doc_id
     met = each.select("id", "group", F.explode("keys").alias("key"), *minis).withColumns({"lo": F.min("group").over(units), "hi": F.max("group").over(units)}).where("lo <> hi")
     met = met.select("key", "id", "group", *minis).sortWithinPartitions("key", "id")  # dealt by key already
     pairs = written(met.transform(in_arrow, in_units(still_hopeful), "key long, id long, group long"), "similar-met")
-    met = pairs.join(every.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
+    met = each_once(pairs).join(every.select(F.col("id").alias("of"), "sketch"), F.col("id") == F.col("of")).drop("of")
     kind = "a long, b long, key long, id long, group long"
     links = written(met.repartition(parts, "key").sortWithinPartitions("key", "id").transform(in_arrow, linked("sketch", sketched), kind), "similar-links")
-    doubt = links.where("key is not null").select("key", "id", "group")
-    asked = doubt.select(F.col("id").alias("of")).distinct()
+    unsure = written(each_once(links.where("key is not null").select("key", "id", "group")), "similar-doubt")
+    asked = written(unsure.select(F.col("id").alias("of")).distinct(), "similar-asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked.hint("merge")  # texts aren't shuffled for a few
     shingles = rows.join(asked, F.col("id") == F.col("of"), "left_semi").transform(in_arrow, sets, "id long, shingles binary")
-    doubt = doubt.join(shingles.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of").repartition(parts, "key").sortWithinPartitions("key", "id")
+    doubt = unsure.join(shingles.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).drop("of").repartition(parts, "key").sortWithinPartitions("key", "id")
     exact = doubt.transform(in_arrow, linked("shingles", listed), kind).select("a", "b")
     repeated = groups.where(F.size("groups") > 1).select("group", F.explode("groups"))
     edges = links.where("key is null").select("a", "b").union(exact).union(repeated).toDF("a", "b")
     found = connected_components(edges, "similar-groups").withColumnRenamed("component", "least")
-    for t in (every, pairs, links):  # what found needs is written
+    for t in (every, pairs, links, unsure):  # what found needs is written
         drop_table(t)
     return groups.join(found, F.col("group") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("least", "group").alias("component")).where(F.col(id_col) != F.col("component"))
