@@ -9,6 +9,7 @@ have go in blocks, one after the other, and the texts' probabilities are normali
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,14 +66,15 @@ class Block:
     log_prior: np.ndarray
     log_prob: np.ndarray  # languages x buckets
 
-    def like(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def like(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text the likeliest language, its logarithm and the sum of all in the block, not normalised; whether
-        it has a letter."""
+        it has a letter, and how many grams."""
         parts, some = gram_buckets(texts)
         like = np.stack([sum(np.bincount(text, w[bucket], len(texts)) for bucket, text in parts) for w in self.log_prob], axis=1)
         like = like / TEMPERATURE + self.log_prior
         top = like.max(axis=1)
-        return [self.languages[k] for k in like.argmax(axis=1)], top, np.exp(like - top[:, None]).sum(axis=1), some
+        many = sum(np.bincount(text, minlength=len(texts)) for _, text in parts)
+        return [self.languages[k] for k in like.argmax(axis=1)], top, np.exp(like - top[:, None]).sum(axis=1), some, many
 
 
 @dataclass
@@ -132,16 +134,19 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     return Model([x for x, _ in docs], np.log(n / n.sum()) if len(n) else n, counts)
 
 
-def with_language(df: DataFrame, model: Model, text_col: str, lang: str, score: str, keep: list[str]) -> DataFrame:
+def with_language(df: DataFrame, model: Model, text_col: str, lang: str, score: str, keep: list[str], seen: str | None = None) -> DataFrame:
     """Columns of df, as named by keep, and two more: the likeliest language of each text and its probability; `und` and 0 without letters.
 
+    seen: name of a third, whether the text is likelier in that language than grams drawn evenly from all buckets (under
+    the rarest language's share). Text in an unlearned script isn't, though some learned language is always likeliest.
+
     One pass over the texts for each block of languages; between blocks the rows are written with what is known so far.
     Of equally likely languages the first by name is taken.
     """
-    top, total = unused("top", df), unused("total", df)
-    more, at = StructType.fromDDL(f"`{lang}` string, `{top}` double, `{total}` double"), df.columns.index(text_col)
+    top, total, many = unused("top", df), unused("total", df), unused("many", df)
+    more, at = StructType.fromDDL(f"`{lang}` string, `{top}` double, `{total}` double, `{many}` long"), df.columns.index(text_col)
     n, blocks = len(df.columns), -(-len(model.languages) // MOST_LANGUAGES)
-    rows = df.select("*", F.lit(UNKNOWN).alias(lang), F.lit(float("-inf")).alias(top), F.lit(0.0).alias(total))
+    rows = df.select("*", F.lit(UNKNOWN).alias(lang), F.lit(float("-inf")).alias(top), F.lit(0.0).alias(total), F.lit(0).cast("long").alias(many))
     for number, block in enumerate(model.blocks()):
         sent = df.sparkSession.sparkContext.broadcast(block)
         names = keep if number == blocks - 1 else df.columns  # the text needn't come back from the last block
@@ -149,15 +154,17 @@ def with_language(df: DataFrame, model: Model, text_col: str, lang: str, score:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, places=tuple(df.columns.index(c) for c in names), kind=kind) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, text_col):
-                best, new, mass, some = sent.value.like([x or "" for x in b.column(at).to_pylist()])
+                best, new, mass, some, grams = sent.value.like([x or "" for x in b.column(at).to_pylist()])
                 before, old, sums = b.column(n).to_pylist(), np.asarray(b.column(n + 1)), np.asarray(b.column(n + 2))
                 high = np.maximum(old, new)
                 sums = np.where(np.isinf(old), 0, sums * np.exp(old - high)) + mass * np.exp(new - high)
                 found = [(x if u > v else y) if s else UNKNOWN for x, y, u, v, s in zip(best, before, new, old, some, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array(found, pa.string()), pa.array(np.where(some, high, -np.inf)), pa.array(np.where(some, sums, 0.0))], kind.names)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in places), pa.array(found, pa.string()), pa.array(np.where(some, high, -np.inf)), pa.array(np.where(some, sums, 0.0)), pa.array(grams.astype(np.int64))], kind.names)
 
         rows = (written(rows, "languages-so-far") if number else rows).transform(in_arrow, run, kind)
-    return rows.select(*keep, lang, F.when(F.col(total) > 0, 1 / F.col(total)).otherwise(0.0).alias(score))
+    even = F.col(many) * (-BUCKET_BITS * math.log(2) / TEMPERATURE) + float(min(model.log_prior, default=0.0))
+    known = [(F.col(top) >= even).alias(seen)] if seen else []
+    return rows.select(*keep, lang, F.when(F.col(total) > 0, 1 / F.col(total)).otherwise(0.0).alias(score), *known)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,10 +181,11 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_known(df: DataFrame, model: Model, least: float, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df whose language is known with at least that probability, with lang_col as predicted.
 
-    Rejected are null texts, texts without letters, and texts of which no language is likely enough. All other
+    Rejected are null texts, texts without letters, texts of which no language is likely enough, and texts less likely
+    in theirs than grams drawn evenly, as those in a script that was not learned (see with_language). All other
     columns stay as they are, ids play no part, and equal rows stay or go together. Ties go to the language that is
     first by name; empty tables give none.
     """
-    lang, score = unused("predicted", df), unused("likely", df)
-    rows = with_language(df, model, text_col, lang, score, df.columns).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least))
+    lang, score, seen = unused("predicted", df), unused("likely", df), unused("seen", df)
+    rows = with_language(df, model, text_col, lang, score, df.columns, seen).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least) & F.col(seen))
     return rows.select(*[F.col(lang).cast(df.schema[c].dataType).alias(c) if c == lang_col else c for c in df.columns])

@@ -115,11 +115,20 @@ def test_langid(spark, odd, nothing, small):
     blank = langid.fit(nothing)
     assert {r.lang_pred for r in langid.predict(odd, blank).collect()} == {"und"}
     kept = langid.keep_known(odd, model, 0.0)
-    assert kept.columns == odd.columns and kept.count() == sum(any(c.isalpha() for c in t or "") for _, t in listed(odd))
+    want = brute_langid([(r.text, r.lang) for r in small.where(F.pmod("doc_id", F.lit(4)) != 2).collect()], [t for _, t in listed(odd)])
+    assert kept.columns == odd.columns and kept.count() == sum(seen for _, _, seen in want)
+
+
+def test_langid_rejects_unlearned_scripts(spark, small):
+    """Grams that no training text has are less likely than evenly drawn ones, whatever the posterior says."""
+    texts = ["Ελληνικό κείμενο που δεν έμαθε κανείς", "текст на языке которого нет", "日本語のテキスト", *[r.text for r in small.limit(20).collect()]]
+    model = langid.fit(small)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    assert sorted(r.doc_id for r in langid.keep_known(docs, model, 0.3).collect()) == list(range(3, len(texts)))
 
 
 def brute_langid(train, texts):
-    """Naive Bayes from counts of each text's own grams, added up one by one."""
+    """Naive Bayes from counts of each text's own grams, added up one by one; whether evenly drawn grams are unlikelier."""
     grams = lambda t: [int(b) for bucket, _ in langid.gram_buckets([t])[0] for b in bucket]
     counts, docs = collections.defaultdict(collections.Counter), collections.Counter()
     for t, lang in train:
@@ -128,14 +137,15 @@ def brute_langid(train, texts):
     out, size = [], 1 << langid.BUCKET_BITS
     for t in texts:
         if not any(c.isalpha() for c in t or "") or not docs:
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, False))
             continue
         like = {}
         for lang in docs:
             total = sum(counts[lang].values()) + 0.5 * size
             like[lang] = sum(math.log((counts[lang][b] + 0.5) / total) for b in grams(t)) / 3 + math.log(docs[lang] / sum(docs.values()))
         best = min(like, key=lambda x: (-like[x], x))
-        out.append((best, 1 / sum(math.exp(v - like[best]) for v in like.values())))
+        even = -len(grams(t)) * math.log(size) / 3 + math.log(min(docs.values()) / sum(docs.values()))
+        out.append((best, 1 / sum(math.exp(v - like[best]) for v in like.values()), like[best] >= even))
     return out
 
 
@@ -147,9 +157,9 @@ def test_langid_by_brute_force(odd, small, monkeypatch, block):
     train = [(r.text, r.lang) for r in rows.collect() if r.text is not None and r.lang is not None]
     got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.predict(odd, langid.fit(rows)).collect()]
     want = brute_langid(train, [t for _, t in listed(odd)])
-    assert len({x for _, x in train}) > 3 and multiset(got) == multiset((i, x, round(v, 6)) for (i, _), (x, v) in zip(listed(odd), want, strict=True))
+    assert len({x for _, x in train}) > 3 and multiset(got) == multiset((i, x, round(v, 6)) for (i, _), (x, v, _) in zip(listed(odd), want, strict=True))
     kept = langid.keep_known(odd, langid.fit(rows), 0.3)
-    assert multiset((r.doc_id, r.lang) for r in kept.collect()) == multiset((i, x) for (i, _), (x, v) in zip(listed(odd), want, strict=True) if v >= 0.3)
+    assert multiset((r.doc_id, r.lang) for r in kept.collect()) == multiset((i, x) for (i, _), (x, v, seen) in zip(listed(odd), want, strict=True) if v >= 0.3 and seen)
 
 
 def test_langid_counts_match_brute_force():
