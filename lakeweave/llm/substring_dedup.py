@@ -77,12 +77,13 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, fanout: int = FANOUT, buckets: int | None = None):
-        """buckets: of every run, for the life of the index; as many as shuffles have partitions if not given."""
+        """buckets: of every run, for the life of the index; if not given, half as many as shuffles have partitions, as a run
+        is far smaller than its texts, and each bucket is a file to write."""
         self.spark, self.path, self.files, self.fanout = spark, path or new_path(spark, "fingerprints"), Files(spark), max(2, fanout)
         self.name = f"fingerprints_{uuid.uuid4().hex}"
         self.runs: list[tuple[int, int]] = []  # (level, number), the oldest first
         self.made, self.version, self.window = 0, 0, window
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
         manifests = [n for n in self.files.names(self.path) if n.startswith("manifest-") and n.endswith(".json")]
         if manifests:
             said = json.loads(self.files.read(f"{self.path}/{max(manifests)}"))
