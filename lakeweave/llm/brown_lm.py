@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, drop_table, in_arrow, new_path, pieces, text_bytes, with_id, written
+from .common import added_up, drop_path, drop_table, in_arrow, new_path, pieces, task_group, text_bytes, with_id, written
 
 #: Words of the core, whose bigrams are counted word by word, and classes. The end of a text is a class of its own.
 CORE, CLASSES = 2047, 64
@@ -111,18 +111,18 @@ SUMS = "at int, part int, counts binary"
 
 
 def _added(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of compressed arrays by `at`: by groups of tasks first, then over all."""
+    """Sums of compressed arrays by `at`: over groups of tasks, then of such groups."""
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in t["counts"].to_pylist())
         return pa.table({"at": t["at"][:1], "part": t["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    rows = rows.groupBy("at", "part").applyInArrow(add, SUMS).groupBy("at").applyInArrow(add, SUMS)
+    rows = added_up(rows, ("at",), add, SUMS)
     return {r.at: np.frombuffer(zlib.decompress(r.counts), np.int64) for r in rows.collect()}
 
 
 def _sum_row(at: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([TaskContext.get().partitionId() // 32], pa.int32()), pa.array([zlib.compress(total.astype(np.int64).tobytes(), 1)], pa.binary())], ["at", "part", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task_group()], pa.int32()), pa.array([zlib.compress(total.astype(np.int64).tobytes(), 1)], pa.binary())], ["at", "part", "counts"])
 
 
 def gathered(df: DataFrame, core: dict[bytes, int], bits: int, text_col: str = "text") -> DataFrame:
@@ -145,7 +145,7 @@ def gathered(df: DataFrame, core: dict[bytes, int], bits: int, text_col: str = "
 
         def rows(kind: int, at: list[int], counts: list[bytes], held: list[bytes]):
             n = len(at)
-            part = TaskContext.get().partitionId() // 32
+            part = task_group()
             return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int8()), pa.array(at, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(counts, pa.binary()), pa.array(held, pa.binary())], names)
 
         def sent_on():

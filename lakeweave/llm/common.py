@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -124,6 +125,28 @@ def crc_fold(spark_column, folds: int):
     return F.crc32(F.coalesce(spark_column.cast("string"), F.lit(""))) % folds
 
 
+#: Tasks whose arrays are added up at a time, as a power of two, and such rounds before the last one.
+FAN_BITS, ROUNDS = 5, 3
+
+
+def task_group() -> int:
+    """`part` of the rows that this task sends to added_up()."""
+    return TaskContext.get().partitionId() >> FAN_BITS
+
+
+def added_up(rows: DataFrame, keys: tuple[str, ...], add, schema: str, first=None) -> DataFrame:
+    """Arrays that many tasks sent, added up by keys: rows of 32 tasks, then of 32 such groups and so on, so that no
+    task holds more than 32 arrays of a key, for up to a million tasks.
+
+    rows: of the schema, with task_group() in `part`. add: from a group's table to one row; first: the same for what
+    tasks sent, if that differs.
+    """
+    for k in range(ROUNDS):
+        rows = rows.withColumn("part", F.shiftright("part", FAN_BITS)) if k else rows
+        rows = rows.groupBy(*keys, "part").applyInArrow(add if k else first or add, schema)
+    return rows.groupBy(*keys).applyInArrow(add, schema)
+
+
 #: Edges that a task of a step takes about.
 EDGES = 50_000
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import in_arrow, pieces, unused, written
+from .common import added_up, in_arrow, pieces, task_group, unused, written
 
 ORDERS, BUCKET_BITS, BLOCK, SMOOTHING = 3, 16, 1024, 0.5
 #: Languages that a broadcast matrix may have: 128 MB.
@@ -99,7 +99,7 @@ class Model:
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from every row with text and language, whatever their number.
 
-    Each task adds its rows into one matrix and sends it in blocks of buckets, which are summed by block and written;
+    Each task adds its rows into one matrix and sends it in blocks of buckets, which are summed by block, 32 at a time, and written;
     the driver gets half a megabyte a language, of MOST_LANGUAGES at a time. Rows with null in either column teach
     nothing, and a table without others gives a model without languages.
     """
@@ -120,15 +120,15 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
                 docs[x] = docs.get(x, 0) + 1
         for x, got in sums.items():
             rows = got.reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([docs[x]] * len(rows), pa.int64()), pa.array([r.astype(np.int64).tobytes() for r in rows], pa.binary())], ["lang", "block", "docs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array([docs[x]] * len(rows), pa.int64()), pa.array([r.astype(np.int64).tobytes() for r in rows], pa.binary()), pa.array([task_group()] * len(rows), pa.int32())], ["lang", "block", "docs", "counts", "part"])
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in t["counts"].to_pylist())
-        return pa.table({"lang": t["lang"][:1], "block": t["block"][:1], "docs": [sum(t["docs"].to_pylist())], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"lang": t["lang"][:1], "block": t["block"][:1], "docs": [sum(t["docs"].to_pylist())], "counts": pa.array([total.tobytes()], pa.binary()), "part": t["part"][:1]})
 
-    schema = "lang string, block int, docs long, counts binary"
+    schema = "lang string, block int, docs long, counts binary, part int"
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = written(rows.transform(in_arrow, count, schema).groupBy("lang", "block").applyInArrow(add, schema), "languages")
+    counts = written(added_up(rows.transform(in_arrow, count, schema), ("lang", "block"), add, schema).drop("part"), "languages")
     docs = sorted((r.lang, r.docs) for r in counts.groupBy("lang").agg(F.max("docs").alias("docs")).collect())
     n = np.array([d for _, d in docs], np.float64)
     return Model([x for x, _ in docs], np.log(n / n.sum()) if len(n) else n, counts)

@@ -17,11 +17,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, pieces, with_id
+from .common import added_up, in_arrow, pieces, task_group, with_id
 from .hashing import grams, mix, within, word_hashes
 
 HASHED = 1024
@@ -101,7 +100,7 @@ PIECE = "at int, part int, data binary"
 
 
 def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of arrays by `at`, by groups of tasks first, then over all; tasks send single precision."""
+    """Sums of arrays by `at`, over groups of tasks, then of such groups; tasks send single precision."""
 
     def adder(kind):
         def add(t: pa.Table) -> pa.Table:
@@ -112,13 +111,13 @@ def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
 
         return add
 
-    rows = rows.groupBy("at", "part").applyInArrow(adder(np.float32), PIECE).groupBy("at").applyInArrow(adder(np.float64), PIECE)
+    rows = added_up(rows, ("at",), adder(np.float64), PIECE, first=adder(np.float32))
     return {r.at: np.frombuffer(zlib.decompress(r.data), np.float64) for r in rows.collect()}
 
 
 def _piece(at: int, total: np.ndarray) -> pa.RecordBatch:
     data = zlib.compress(total.astype(np.float32).tobytes(), 1)
-    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([TaskContext.get().partitionId() // 32], pa.int32()), pa.array([data], pa.binary())], ["at", "part", "data"])
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([task_group()], pa.int32()), pa.array([data], pa.binary())], ["at", "part", "data"])
 
 
 def _texts(b: pa.RecordBatch) -> np.ndarray:

@@ -101,6 +101,19 @@ def test_components(spark):
 # ---------------------------------------------------------------- 1 language ID
 
 
+def test_added_up(spark):
+    """Sums of all rows, and no group of more than 32 of them, from far more tasks than that."""
+    import pyarrow as pa
+
+    def add(t):
+        assert len(t) <= 32
+        return pa.table({"at": t["at"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "part": t["part"][:1]})
+
+    tasks = spark.range(5000).select(F.expr("cast(id % 2 as int) as at"), F.col("id").alias("n"), F.expr("cast(shiftright(id, 5) as int) as part"))
+    got = common.added_up(tasks, ("at",), add, "at int, n long, part int")
+    assert {r.at: r.n for r in got.collect()} == {k: sum(range(k, 5000, 2)) for k in (0, 1)}
+
+
 def test_langid(spark, odd, nothing, small):
     model = langid.fit(small.where(F.pmod("doc_id", F.lit(4)) != 2))
     got = langid.predict(small, model).join(small, "doc_id").where(F.pmod("doc_id", F.lit(4)) == 2)
