@@ -35,6 +35,18 @@ def test_query(spark, duck, sf_dir, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("n", [0, 1, 10_000_000])
+def test_compaction_is_due_at_any_size(spark, tmp_path, n):
+    """Ten million rows that don't compress are over 8 MB in each of 16 files; no row makes one file."""
+    lines = spark.range(n).selectExpr("xxhash64(id) l_orderkey", "pmod(xxhash64(id, 1), 1000000000) / 100.0d l_extendedprice")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalogue.queries()["compaction_preserves_rows"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = c.sql(catalogue.oracle_sql()["compaction_preserves_rows"])
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
